@@ -18,13 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` written to the shared checkpoint folder, so that its lineage ends there.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``, which all executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``.  Where that is unset, a local-mode session
-    (tests, bench) gets a temporary folder; on a cluster it is an error.
+    Where that is unset, a local-mode session (tests, bench) gets a temporary folder; on a cluster it is
+    an error.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = sc.getConf().get("spark.checkpoint.dir")
         if shared is None:
@@ -32,9 +32,27 @@ def checkpointed(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             shared = tempfile.mkdtemp(prefix="checkpoint-")
         sc.setCheckpointDir(shared)
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df` written to the shared folder, so that its lineage ends there; Spark removes the files when it is no longer used."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """`df` written to `path` as Parquet, and read from there."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    file = jvm.org.apache.hadoop.fs.Path(path)
+    file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(file, True)
+
+
 def remainder(col: str, n: int) -> Column:
     """crc32 of the id's text, mod n: the fold of a row. A null id has fold 0."""
     return F.coalesce(F.crc32(F.col(col).cast("string")) % n, F.lit(0))

@@ -62,14 +62,14 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most:
 
 
 def mix_cuts(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> tuple[DataFrame, DataFrame, bool]:
-    """The slim rows (id, __source, __key, size), the cut of each source, and whether the cuts may be broadcast.
+    """The slim rows (id, __source, __key, __size), the cut of each source, and whether the cuts may be broadcast.
 
-    A cut: source_size, target, __epochs (how often every document of the source is taken whole), and
+    A cut: __source_size, __target, __epochs (how often every document of the source is taken whole), and
     __cut_key, __cut_words, __cut_rows: documents of lower keys are taken once more, and of the one with
     that key so many words.
     """
-    slim = checkpointed(docs.select(F.col(id_col), F.col(source_col).cast("string").alias("__source"), random_key(F.col(id_col), F.col(text_col), seed).alias("__key"), words_in(F.col(text_col)).alias("size")))
-    totals = slim.groupBy("__source").agg(F.sum("size").alias("source_size"), F.count("*").alias("__n"))
+    slim = checkpointed(docs.select(F.col(id_col), F.col(source_col).cast("string").alias("__source"), random_key(F.col(id_col), F.col(text_col), seed).alias("__key"), words_in(F.col(text_col)).alias("__size")))
+    totals = slim.groupBy("__source").agg(F.sum("__size").alias("source_size"), F.count("*").alias("__n"))
     budget = F.floor("target").cast("bigint")
     targets = source_targets(totals)
     targets = checkpointed(targets.withColumn("__epochs", F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("bigint")).withColumn("__rest", budget - F.col("__epochs") * F.col("source_size")))
@@ -80,7 +80,7 @@ def mix_cuts(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed:
     place = F.least(ranges - 1, F.floor(F.col("__key") / F.lit(2.0**63) * ranges)).cast("int")
     sized = targets.select(F.col("__source").alias("__s"), "__n")
     spread = slim.join(hint(sized), F.col("__source").eqNullSafe(F.col("__s"))).withColumn("__range", place)
-    units = spread.repartition("__source", "__range").groupBy("__source", "__range", "__key").agg(F.sum("size").alias("__w"), F.count("*").alias("__rows"))
+    units = spread.repartition("__source", "__range").groupBy("__source", "__range", "__key").agg(F.sum("__size").alias("__w"), F.count("*").alias("__rows"))
     units = checkpointed(units.withColumn("__end", F.sum("__w").over(W.partitionBy("__source", "__range").orderBy("__key"))))
     before = units.groupBy("__source", "__range").agg(F.sum("__w").alias("__all"))
     before = before.withColumn("__before", F.sum("__all").over(W.partitionBy("__source").orderBy("__range")) - F.col("__all"))
@@ -90,15 +90,15 @@ def mix_cuts(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed:
     ranges_cut = ranges_cut.select("__s", F.col("__range").alias("__r"), (F.col("__rest") - F.col("__before")).alias("__left"))
     cut = units.join(ranges_cut, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__range") == F.col("__r"))).where((F.col("__end") - F.col("__w") <= F.col("__left")) & (F.col("__left") < F.col("__end")))
     cut = cut.select("__s", F.col("__key").alias("__cut_key"), (F.col("__left") - F.col("__end") + F.col("__w")).alias("__cut_words"), F.col("__rows").alias("__cut_rows"))
-    cuts = targets.join(cut, F.col("__source").eqNullSafe(F.col("__s")), "left").select(F.col("__source").alias("__s"), "source_size", "target", "__epochs", "__cut_key", "__cut_words", "__cut_rows")
+    cuts = targets.join(cut, F.col("__source").eqNullSafe(F.col("__s")), "left").select(F.col("__source").alias("__s"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), "__epochs", "__cut_key", "__cut_words", "__cut_rows")
     return slim, checkpointed(cuts), small
 
 
 def _with_taken(rows: DataFrame, cuts: DataFrame, small: bool) -> DataFrame:
-    """`rows` (__source, __key, size) with their source's cut, __part and taken."""
-    part = F.when(F.col("__key") < F.col("__cut_key"), F.col("size")).when(F.col("__key") == F.col("__cut_key"), F.least(F.col("size"), F.floor(F.col("__cut_words") / F.col("__cut_rows")))).otherwise(0).cast("bigint")
+    """`rows` (__source, __key, __size) with their source's cut, __part and __taken."""
+    part = F.when(F.col("__key") < F.col("__cut_key"), F.col("__size")).when(F.col("__key") == F.col("__cut_key"), F.least(F.col("__size"), F.floor(F.col("__cut_words") / F.col("__cut_rows")))).otherwise(0).cast("bigint")
     joined = rows.join(F.broadcast(cuts) if small else cuts, F.col("__source").eqNullSafe(F.col("__s"))).withColumn("__part", part)
-    return joined.withColumn("taken", F.col("__epochs") * F.col("size") + F.col("__part"))
+    return joined.withColumn("__taken", F.col("__epochs") * F.col("__size") + F.col("__part"))
 
 
 def mix_amounts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17) -> DataFrame:
@@ -108,20 +108,18 @@ def mix_amounts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Repeated rows share one key; if the cut falls on them, each gives the same part.
     """
     slim, cuts, small = mix_cuts(docs, id_col, text_col, source_col, seed)
-    return _with_taken(slim, cuts, small).select(id_col, "size", "source_size", "target", "taken")
+    return _with_taken(slim, cuts, small).select(id_col, F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__taken").alias("taken"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17) -> DataFrame:
     """The mixed rows, with the columns of `docs`: each row as often as the mix takes it, the one at the cut with its first words only."""
     _, cuts, small = mix_cuts(docs, id_col, text_col, source_col, seed)
-    keyed = docs.withColumns({"__source": F.col(source_col).cast("string"), "__key": random_key(F.col(id_col), F.col(text_col), seed), "size": words_in(F.col(text_col))}) if "size" not in docs.columns else None
-    if keyed is None:
-        raise ValueError("rename the column size")
+    keyed = docs.withColumns({"__source": F.col(source_col).cast("string"), "__key": random_key(F.col(id_col), F.col(text_col), seed), "__size": words_in(F.col(text_col))})
     rows = _with_taken(keyed, cuts, small)
     copies = F.col("__epochs") + (F.col("__part") > 0).cast("bigint")
-    rows = rows.where((F.col("size") > 0) & (copies > 0)).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), copies)))
+    rows = rows.where((F.col("__size") > 0) & (copies > 0)).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), copies)))
     first = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(f"[\\x20\\x09-\\x0D]*{WORD}"), F.lit(0)), F.lit(1), F.col("__part").cast("int")), "")
-    cut_off = (F.col("__copy") > F.col("__epochs")) & (F.col("__part") < F.col("size"))
+    cut_off = (F.col("__copy") > F.col("__epochs")) & (F.col("__part") < F.col("__size"))
     return rows.withColumn(text_col, F.when(cut_off, first).otherwise(F.col(text_col))).select(*docs.columns)
 
 

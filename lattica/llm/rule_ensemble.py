@@ -152,20 +152,32 @@ def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 30, depth: int = 3, pen
     return RuleEnsemble(float(c - (real * mean).sum()), tuple((r, float(k)) for r, k in zip(rules, real, strict=True) if k))
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", keep: list[str] | None = None, folds: int = 3, held: int = 1, max_rows: int = MAX_TRAINING_ROWS) -> DataFrame:
-    """The columns `keep` (the id), held_out, score and predicted of every row.
+def fit_labels(stats: DataFrame, labels: DataFrame, id_col: str, label_col: str, folds: int, held: int, max_rows: int) -> RuleEnsemble:
+    """The ensemble of the labelled rows of `stats` (id and STATISTICS) outside fold `held` of `folds`, at most `max_rows` of them."""
+    train = labels.where(F.col(label_col).isNotNull() & (remainder(id_col, folds) != held)).select(id_col, F.col(label_col).cast("double").alias("__label"))
+    rows = stats.select(id_col, *STATISTICS).join(train, id_col).orderBy(F.xxhash64(F.col(id_col).cast("string")), *STATISTICS, "__label").limit(max_rows).drop(id_col).toPandas()
+    return fit_rules(rows[list(STATISTICS)].to_numpy(np.float64), rows["__label"].to_numpy(np.float64))
+
+
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 3, held: int = 1, max_rows: int = MAX_TRAINING_ROWS) -> DataFrame:
+    """The id, held_out, score and predicted of every row.
 
     Labels are learned from rows outside fold `held` of `folds` (crc32 of the id's text), at most
     `max_rows` of them.  Rows with a null label are not learned from; a repeated label row counts each
     time.  Null and empty texts have all statistics 0 and are scored like others.
     """
-    keep = keep or [id_col]
-    stats = checkpointed(text_statistics(docs, keep, text_col))
-    train = labels.where(F.col(label_col).isNotNull() & (remainder(id_col, folds) != held)).select(id_col, F.col(label_col).cast("double").alias("__label"))
-    rows = stats.select(id_col, *STATISTICS).join(train, id_col).orderBy(F.xxhash64(F.col(id_col).cast("string")), *STATISTICS, "__label").limit(max_rows).drop(id_col).toPandas()
-    model = fit_rules(rows[list(STATISTICS)].to_numpy(np.float64), rows["__label"].to_numpy(np.float64))
+    stats = checkpointed(text_statistics(docs, [id_col], text_col))
+    model = fit_labels(stats, labels, id_col, label_col, folds, held, max_rows)
     out = stats.withColumn("__score", model.score())
-    return out.select(*keep, (remainder(id_col, folds) == held).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
+    return out.select(id_col, (remainder(id_col, folds) == held).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
+
+
+def drop_low_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 3, held: int = 1, max_rows: int = MAX_TRAINING_ROWS) -> DataFrame:
+    """`docs` without the rows that `classify` predicts 0 for."""
+    model = fit_labels(text_statistics(docs, [id_col], text_col), labels, id_col, label_col, folds, held, max_rows)
+    names = {c: f"__c{i}" for i, c in enumerate(docs.columns)}  # apart from the statistics' names
+    rows = text_statistics(docs.withColumnsRenamed(names), list(names.values()), names[text_col])
+    return rows.where(model.score() >= 0.5).select(*(F.col(v).alias(c) for c, v in names.items()))
 
 
 def op1_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
