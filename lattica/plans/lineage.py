@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """`df` written to ``spark.checkpoint.dir``; a local-mode session without one gets a temporary folder."""
-    sc = df.sparkSession.sparkContext
+def shared(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; a local-mode session without one gets a temporary folder."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = sc.getConf().get("spark.checkpoint.dir")
         if folder is None:
@@ -17,4 +17,10 @@ def cut(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="checkpoint-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """`df` written to the shared folder, so that its lineage ends there."""
+    shared(df.sparkSession)
     return df.checkpoint()

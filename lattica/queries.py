@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.functions import astronomy as astro
-from lattica.functions import dates, special
+from lattica.functions import dates, sofa, special
 from lattica.functions import random as rnd
 from lattica.functions import strings as st
 from lattica.ndarray import NdArray
 from lattica.operators import cluster as cl
+from lattica.operators import directions
 from lattica.operators import elementwise as el
 from lattica.operators import fitting as fit
 from lattica.operators import images as im
@@ -707,3 +708,152 @@ def clusters(spark, sf):
 @q("select date_trunc('hour', ts) as start, event_type, count(*) as n, round(sum(value), 3) as total from events group by 1, 2")
 def hourly_events(spark, sf):
     return tumbling(tab(spark, sf, "events"), "ts", "event_type", "value").select("start", "event_type", "n", r4("total", "total", 3))
+
+
+# Further operators.
+
+
+@q("""with d as (select o_orderkey, epoch(o_orderdate) / 86400 - 10957.5 as t from orders), e as (select o_orderkey, t, t / 36525 as c, 2 * pi() * ((t + 0.5) - floor(t + 0.5) + 0.5 + 0.7790572732640 - 0.5 + 0.00273781191135448 * t + 0.5) as x from d)
+select o_orderkey, round(x - floor(x / (2 * pi())) * 2 * pi(), 5) as era, round((84381.406 - 46.836769 * c - 0.0001831 * c * c + 0.00200340 * c * c * c) * pi() / 648000, 9) as obliquity from
+(select o_orderkey, c, 2 * pi() * ((t + 2451545.0) - floor(t + 2451545.0) + 0.7790572732640 + 0.00273781191135448 * t) as x from e)""")
+def earth_rotation(spark, sf):
+    j = dates.jd(F.col("o_orderdate"))
+    return tab(spark, sf, "orders").select("o_orderkey", r4(special.column(lambda t: sofa.era00(t), j), "era", 5), r4(special.column(lambda t: sofa.obl06(t), j), "obliquity", 9))
+
+
+@q("""select s_suppkey, round(cos(a) * cos(b), 8) as x, round(sin(a) * cos(b), 8) as y, round(sin(b), 8) as z from (select s_suppkey, s_suppkey * 0.06 as a, s_nationkey * 0.1 - 1.2 as b from supplier)""")
+def sphere_points(spark, sf):
+    a, b = F.col("s_suppkey") * 0.06, F.col("s_nationkey") * 0.1 - 1.2
+    return tab(spark, sf, "supplier").select("s_suppkey", *(r4(special.column(lambda p, q, k=k: sofa.s2c(p, q)[k], a, b), n, 8) for k, n in enumerate("xyz")))
+
+
+@q("""with d as (select o_orderkey, cast(julian(o_orderdate::date) as bigint) as j from orders), y as (select *, (30 * (j - 1948440) + 10646) // 10631 as y from d),
+m as (select *, least(12, ceil((j - (29 + 1 + (y - 1) * 354 + (3 + 11 * y) // 30 + 1948439)) / 29.5)::bigint + 1) as m from y)
+select o_orderkey, y, m, j - (1 + ceil(29.5 * (m - 1))::bigint + (y - 1) * 354 + (3 + 11 * y) // 30 + 1948439) + 1 as d from m""")
+def islamic_dates(spark, sf):
+    t, c = F.col("o_orderdate"), lambda x: x.cast("bigint")
+    j = dates.gregorian_to_jdn(c(F.year(t)), c(F.month(t)), c(F.day(t)))
+    g = tab(spark, sf, "orders").select("o_orderkey", j.alias("j")).select("o_orderkey", dates.jdn_to_islamic(F.col("j")).alias("g"))
+    return g.select("o_orderkey", *(c(F.col(f"g.{p}")).alias(p[0]) for p in ("year", "month", "day")))
+
+
+@q("select o_orderkey, round(epoch(o_orderdate) - epoch(timestamp '1977-01-01') + (select count(*) from (values (timestamp '1978-01-01'), ('1979-01-01'), ('1980-01-01'), ('1981-07-01'), ('1982-07-01'), ('1983-07-01'), ('1985-07-01'), ('1988-01-01'), ('1990-01-01'), ('1991-01-01'), ('1992-07-01'), ('1993-07-01'), ('1994-07-01'), ('1996-01-01'), ('1997-07-01'), ('1999-01-01'), ('2006-01-01')) l(d) where d <= o_orderdate) + 1, 3) as tai from orders")
+def atomic_seconds(spark, sf):
+    return tab(spark, sf, "orders").select("o_orderkey", r4(dates.tai_from_date(F.col("o_orderdate").cast("timestamp")), "tai", 3))
+
+
+@q(f"""with m as {EM}, d as (select i0, i1, v, lag(v) over (partition by i1 order by i0) as b, lead(v) over (partition by i1 order by i0) as a from m) select i0, i1, coalesce((v > a and v > b)::int, 0)::bigint as v from d""")
+def maxima_along_direction(spark, sf):
+    a = emb(spark, sf)
+    return directions.maxdir(a, a.map(lambda v: F.lit(0.0))).df.withColumn("v", F.col("v").cast("bigint"))
+
+
+@q(f"""with m as {EM}, d as (select i0, i1, v, lag(v) over (partition by i0 order by i1) as b, lead(v) over (partition by i0 order by i1) as a from m) select i0, i1, coalesce((a - 2 * v + b < 0)::int, 0)::bigint as v from d""")
+def hills_along_direction(spark, sf):
+    a = emb(spark, sf)
+    return directions.segmentdir(a, a.map(lambda v: F.lit(1.5707963267948966))).df.withColumn("v", F.col("v").cast("bigint"))
+
+
+@q(f"""with m as {EM}, g as (select r, t, round(250 + r * cos(t * 2 * pi() / 90))::bigint as x, round(32 + r * sin(t * 2 * pi() / 90))::bigint as y from range(0, 30) a(r), range(0, 90) b(t))
+select r as i0, t as i1, round(coalesce(v, 0), 6) as v from g left join m on i0 = x and i1 = y""")
+def polar_image(spark, sf):
+    return out(im.to_polar(emb(spark, sf), (250.0, 32.0), 30, 90), 6)
+
+
+@q(f"select a.i0, a.i1, round(0.3 * a.v + 0.7 * (a.v * a.v), 6) as v from {EM} a")
+def faded(spark, sf):
+    a = emb(spark, sf)
+    return out(im.fade(a, a.map(lambda v: v * v), 0.3), 6)
+
+
+@q(f"""with x as (select i0, v, avg(v) over w as m, count(*) over w as n, sum(v * v) over w as s from {EV} window w as (order by i0 rows between 2 preceding and 2 following)), y as (select *, (m * n - v) / (n - 1) as r, (s - v * v) / (n - 1) as q from x)
+select i0, round(case when v - r > 0.25 * abs(r) and v - r > 3 * sqrt(greatest(0, q - r * r)) then r else v end, 2) as v from y""")
+def despiked(spark, sf):
+    return out(win.despike(ev(spark, sf), level=3.0), 2)
+
+
+@q("select c_custkey, rpad(c_mktsegment, 12, '.') as seg, printf('%05d|%.2f', c_nationkey, c_acctbal) as text, lower(hex(c_custkey)) as hex from customer")
+def formatted(spark, sf):
+    from lattica.sources.files import hex_dump
+
+    return tab(spark, sf, "customer").select("c_custkey", F.rpad("c_mktsegment", 12, ".").alias("seg"), st.fstring("%05d|%.2f", F.col("c_nationkey"), F.col("c_acctbal")).alias("text"), hex_dump(F.col("c_custkey")).alias("hex"))
+
+
+@q("select c_custkey, cast(regexp_extract(c_name, '([0-9]+)', 1) as bigint) as n, split_part(c_name, '#', 1) as word from customer")
+def scanned(spark, sf):
+    got = st.sscanf(F.translate("c_name", "#", " "), "%s %d")
+    return tab(spark, sf, "customer").select("c_custkey", got.alias("r")).select("c_custkey", F.col("r.v1").alias("n"), F.col("r.v0").alias("word"))
+
+
+@q(f"select v.id as i0, round(sum(case when c = 'w' then x end), 4) as v from (select event_id as id, 'w' as c, value as x from events) v group by 1")
+def stored_and_read(spark, sf):
+    """An array written as Parquet with its manifest in the shared folder, and read again."""
+    import uuid
+
+    from lattica.plans.lineage import shared
+    from lattica.sources import files
+
+    path = f"{shared(spark)}/arrays-{uuid.uuid4().hex}"
+    files.store({"events": ev(spark, sf)}, path)
+    return out(files.restore(spark, path)["events"])
+
+
+@q("select round(sum(l_extendedprice) filter (where l_discount > 0.05), 2) as v, count(*) as n from lineitem where l_quantity < 24")
+def evaluated_text(spark, sf):
+    from lattica.plans.session import Workspace
+
+    w = Workspace(spark)
+    w.set("lines", tab(spark, sf, "lineitem"))
+    return w.execute("select round(sum(l_extendedprice) filter (where l_discount > 0.05), 2) as v, count(*) as n from lines where l_quantity < 24")
+
+
+@q("with recursive c(x) as (select 1 union all select x + 1 from c where x < 40) select cast(x as bigint) as k, cast(2 * x * x * x - 3 * x + 1 as double) as v from c")
+def polynomials(spark, sf):
+    return spark.range(1, 41).select(F.col("id").alias("k"), r4(el.poly(F.col("id").cast("double"), [1, -3, 0, 2]), "v", 3))
+
+
+@q("""select k, round(x[1], 5) as lo, round(x[len(x)], 5) as hi from (select k, list_sort([-1.0 * k, 0.5 * k, 2.0 * k]) as x from range(1, 50) t(k))""")
+def cubic_roots(spark, sf):
+    k = F.col("id").cast("double")
+    a, b, c = -1.5 * k, -1.5 * k * k, k * k * k
+    got = spark.range(1, 50).select("id", el.root3(a, b, c).alias("x"))
+    return got.select(F.col("id").alias("k"), r4(F.get("x", 0), "lo", 5), r4(F.element_at("x", -1), "hi", 5))
+
+
+@q()
+def monotone_curve(spark, sf):
+    from lattica.ndarray import along_axis
+
+    at = np.arange(0, 63, 0.5)
+    return out(along_axis(emb(spark, sf), 1, lambda y: fit.monotone_interpolate(np.arange(len(y)), np.sort(y), at), len(at)))
+
+
+@q()
+def periodogram(spark, sf):
+    from lattica.ndarray import along_axis
+
+    return out(along_axis(emb(spark, sf), 1, lambda y: sp.welch(y, 16), 9), 6)
+
+
+@q()
+def symmetric_eigenvalues(spark, sf):
+    a = emb(spark, sf)
+    gram = red.mproduct(sh.transpose(a), a).numpy()
+    return spark.createDataFrame([(k, round(float(v), 4)) for k, v in enumerate(sp.eigenvalues(gram))], "k bigint, v double")
+
+
+@q()
+def shifted_image(spark, sf):
+    return out(im.shift3(sh.subscript(emb(spark, sf), slice(0, 200), slice(0, 64)), 0.5, -0.25))
+
+
+@q()
+def poisson_solved(spark, sf):
+    return out(im.antilaplace2d(im.laplace2d(sh.subscript(emb(spark, sf), slice(0, 60), slice(0, 64)))))
+
+
+@q()
+def planet_places(spark, sf):
+    j = dates.jd(F.col("o_orderdate"))
+    t = tab(spark, sf, "orders").select("o_orderdate").distinct()
+    return t.select("o_orderdate", *(r4(special.column(lambda d, n=n: astro.geocentric(n, d)[0], j), n) for n in ("sun", "mars", "jupiter")))
