@@ -767,9 +767,9 @@ def faded(spark, sf):
 
 
 @q(f"""with x as (select i0, v, avg(v) over w as m, count(*) over w as n, sum(v * v) over w as s from {EV} window w as (order by i0 rows between 2 preceding and 2 following)), y as (select *, (m * n - v) / (n - 1) as r, (s - v * v) / (n - 1) as q from x)
-select i0, round(case when v - r > 0.25 * abs(r) and v - r > 3 * sqrt(greatest(0, q - r * r)) then r else v end, 2) as v from y""")
+select i0, round(case when v - r > 0.25 * abs(r) and v - r > 3 * sqrt(greatest(0, q - r * r)) then r else v end, 4) as v from y""")
 def despiked(spark, sf):
-    return out(win.despike(ev(spark, sf), level=3.0), 2)
+    return out(win.despike(ev(spark, sf), level=3.0))
 
 
 @q("select c_custkey, rpad(c_mktsegment, 12, '.') as seg, printf('%05d|%.2f', c_nationkey, c_acctbal) as text, lower(hex(c_custkey)) as hex from customer")

@@ -95,6 +95,30 @@ def test_standards():
     assert np.allclose(sofa.pmat06(2400000.5, 50123.9999) @ sofa.pmat06(2400000.5, 50123.9999).T, np.eye(3))
 
 
+def test_standards_with_nutation():
+    """Published values, within the accuracy of the leading terms."""
+    assert sofa.nut80(2400000.5, 53736.0) == pytest.approx((-0.9643658353226563658e-5, 0.4060051006879713322e-4), abs=5e-8)
+    assert sofa.gst94(2400000.5, 53736.0) == pytest.approx(1.754166136020645203, abs=5e-8)
+    assert sofa.pb06(2400000.5, 50123.9999) == pytest.approx((-0.5092634016326478238e-3, -0.3602772060566044413e-3, -0.3779735537167811177e-3), abs=1e-9)
+    assert sofa.xys06a(2400000.5, 53736.0) == pytest.approx((0.5791308482835292617e-3, 0.4020580099454020310e-4, -0.1220032294164579896e-7), abs=1e-7)
+    assert sofa.eo06a(2400000.5, 53736.0) == pytest.approx(-0.1332882371941833644e-2, abs=1e-7)
+    assert sofa.dtdb(2448939.5, 0.123) == pytest.approx(-0.1280368005936998991e-2, abs=1e-5)
+    assert np.allclose(sofa.pnm06a(2400000.5, 50123.9999)[0], (0.9999995832794205484, 0.8372382772630962111e-3, 0.3639684771140623099e-3), atol=1e-7)
+    assert sofa.c2t06a(2400000.5, 53736.0, 2400000.5, 53736.0, 2.55060238e-7, 1.860359247e-6)[0] == pytest.approx((-0.1810332128305897282, 0.9834769806938592296, 0.6555550962998436505e-4), abs=1e-7)
+    assert sofa.prec76(2400000.5, 33282.0, 2400000.5, 51544.0)[0] == pytest.approx(0.5588961642000161243e-2, abs=1e-14)
+    star = (1.0, 0.5, 1e-5, -2e-5, 0.3, 20.0)
+    assert sofa.pvstar(*sofa.starpv(*star)) == pytest.approx(star)
+
+
+def test_surface_curve():
+    from lattica.operators.directions import curve_to_polar, polar_to_curve, project_map
+
+    for lon, lat in ((0.3, 0.2), (2.5, -1.1), (-2.0, 0.7)):
+        got = curve_to_polar(float(polar_to_curve(np.array(lon), np.array(lat))))
+        assert got == pytest.approx((lon, lat), abs=1e-4)
+    assert np.isnan(project_map(np.ones((8, 5)), np.inf, 0.0, 9)[0, 0]) and project_map(np.ones((8, 5)), np.inf, 0.0, 9)[4, 4] == pytest.approx(1.0)
+
+
 def test_random_is_repeatable(spark):
     a, b = rnd.randomu(spark, 7, 2000).numpy(), rnd.randomu(spark, 7, 2000).numpy()
     assert (a == b).all() and abs(a.mean() - 0.5) < 0.03 and len(set(a)) == 2000
