@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes that one numpy pass works on; a longer single text is a pass of its own.
 PASS_BYTES = 1 << 21
+#: Rows that a Python function turns into results at a time.
+SLICE_ROWS = 2000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,10 +60,28 @@ def remainder(col: str, n: int) -> Column:
     return F.coalesce(F.crc32(F.col(col).cast("string")) % n, F.lit(0))
 
 
+def lowest_hashes(df: DataFrame, id_col: str, rows: int, of: int) -> DataFrame:
+    """Of `of` rows, those whose ids' hashes are in the lowest share that holds about twice `rows`.
+
+    What is sorted to find the lowest `rows` of them is then bounded as well.
+    """
+    share = 2 * (rows + 50) / max(1, of)
+    if share >= 1:
+        return df
+    return df.where(F.xxhash64(F.col(id_col).cast("string")) <= F.lit(int(-(2**63) + share * 2**64)))
+
+
 def sql_type(df: DataFrame, col: str) -> str:
     return df.schema[col].dataType.simpleString()
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of a few rows, so that what is made from them stays small."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def map_texts(df: DataFrame, keep: list[str], text: str, fn: Callable, out: str) -> DataFrame:
     """One row per input row: the columns `keep`, then the columns `out` that `fn` returns for the texts.
 
@@ -71,7 +91,7 @@ def map_texts(df: DataFrame, keep: list[str], text: str, fn: Callable, out: str)
     head = ", ".join(f"`{c}` {sql_type(df, c)}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(len(keep)).fill_null("").to_pylist()
             cols = [pa.array(c) if not isinstance(c, pa.Array) else c for c in fn(texts)]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *cols], names=names)

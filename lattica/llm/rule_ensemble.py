@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import checkpointed, map_texts, remainder, table
+from lattica.llm.common import checkpointed, lowest_hashes, map_texts, remainder, table
 
 #: Statistics of a text, in the order of `text_statistics`.
 STATISTICS = ("chars", "words", "upper", "digits", "symbols", "exclaims", "pipes", "dup_lines", "line_chars", "word_chars", "distinct_words", "same_as_last", "stops", "commas", "ascii", "top_word")
@@ -155,6 +155,7 @@ def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 30, depth: int = 3, pen
 def fit_labels(stats: DataFrame, labels: DataFrame, id_col: str, label_col: str, folds: int, held: int, max_rows: int) -> RuleEnsemble:
     """The ensemble of the labelled rows of `stats` (id and STATISTICS) outside fold `held` of `folds`, at most `max_rows` of them."""
     train = labels.where(F.col(label_col).isNotNull() & (remainder(id_col, folds) != held)).select(id_col, F.col(label_col).cast("double").alias("__label"))
+    train = lowest_hashes(train, id_col, max_rows, train.count())
     rows = stats.select(id_col, *STATISTICS).join(train, id_col).orderBy(F.xxhash64(F.col(id_col).cast("string")), *STATISTICS, "__label").limit(max_rows).drop(id_col).toPandas()
     return fit_rules(rows[list(STATISTICS)].to_numpy(np.float64), rows["__label"].to_numpy(np.float64))
 
