@@ -540,17 +540,20 @@ def fourier_round_trip(spark, sf):
     return out(sp.fftb(sp.fft(emb(spark, sf), 1), 1), 6)
 
 
-@q()
+@q(f"""with k as (select m, (1 + 2 * sum(cos(2 * pi() * f * (m - 0.5) / 64))) / 64 as d from range(-63, 64) a(m), range(1, 32) b(f) group by m)
+select e.i0, j as i1, round(sum(e.v * k.d), 4) as v from {EM} e, range(0, 64) t(j), k where k.m = j - e.i1 group by e.i0, j""")
 def fourier_shifted(spark, sf):
     return out(sp.fftshift(emb(spark, sf), 0.5, 1))
 
 
-@q()
+@q(f"""with k as (select m, -2 * sum(sin(2 * pi() * f * m / 64)) / 64 as d from range(-63, 64) a(m), range(1, 32) b(f) group by m)
+select e.i0, j as i1, round(sum(e.v * k.d), 4) as v from {EM} e, range(0, 64) t(j), k where k.m = j - e.i1 group by e.i0, j""")
 def hilbert_phase(spark, sf):
     return out(sp.hilbert(emb(spark, sf), 1))
 
 
-@q()
+@q(f"""with w as (select cast(i as bigint) as i, cast(n as bigint) as n, case when n = 0 then exp(-i / 4) else (1 - exp(-0.25)) * exp(-(i - n) / 4) end as w from range(0, 64) a(i), range(0, 64) b(n) where n <= i),
+y as (select e.i0, w.i, sum(e.v * w.w) as v from {EM} e join w on w.n = e.i1 group by 1, 2) select y.i0, 63 - w.i as i1, round(sum(y.v * w.w), 4) as v from y join w on w.n = 63 - y.i group by 1, 2""")
 def exponentially_smoothed(spark, sf):
     return out(win.esmooth2(emb(spark, sf), 4.0, 1))
 
@@ -655,7 +658,12 @@ def kepler_anomalies(spark, sf):
     return astro.kepler(t, "m", 0.5, "v").select("i0", r4("v", places=6))
 
 
-@q()
+@q("""with j as (select o_orderkey, epoch(o_orderdate) / 86400 + 2440587.5 as jd from orders), a as (select *, (jd - 2451545.0) / 36525 as t from j),
+b as (select *, radians(357.52911 + 35999.05029 * t) as m, 0.016708634 - 0.000042037 * t as e from a), c as (select *, (1.914602 - 0.004817 * t) * sin(m) + 0.019993 * sin(2 * m) + 0.000289 * sin(3 * m) as c from b),
+d as (select *, 280.46646 + 36000.76983 * t + c - 0.00569 as lam, 73.6667 + 1.3958333 * (jd - 2396758) / 36525 as k, 1.000001018 * (1 - e * e) / (1 + e * cos(m + radians(c))) as r from c),
+f as (select *, radians(lam - k) as d, radians(7.25) as i, radians(23.439291 - 0.0130042 * t) as eps, (jd - 2398220) * (360 / 25.38) as theta from d),
+g as (select *, degrees(atan2(-sin(d) * cos(i), -cos(d))) - theta as l from f)
+select o_orderkey, round(degrees(atan(-cos(radians(lam)) * tan(eps)) + atan(-cos(d) * tan(i))), 4) as p, round(degrees(asin(sin(d) * sin(i))), 4) as b, round(l - floor(l / 360) * 360, 4) as l, round(959.63 / r, 4) as r from g""")
 def sun_disk(spark, sf):
     return tab(spark, sf, "orders").select("o_orderkey", astro.solar_disk(dates.jd(F.col("o_orderdate"))).alias("s")).select("o_orderkey", *(r4(f"s.{c}", c) for c in "pblr"))
 
@@ -828,7 +836,9 @@ def monotone_curve(spark, sf):
     return out(along_axis(emb(spark, sf), 1, lambda y: fit.monotone_interpolate(np.arange(len(y)), np.sort(y), at), len(at)))
 
 
-@q()
+@q(f"""with w as (select cast(n as bigint) as n, 0.5 - 0.5 * cos(2 * pi() * n / 15) as w from range(0, 16) t(n)), x as (select i0, f, n, v * w as v from {EM}, range(0, 7) t(f), w where i1 = 8 * f + n),
+p as (select i0, f, k, power(sum(v * cos(2 * pi() * k * n / 16)), 2) + power(sum(v * sin(2 * pi() * k * n / 16)), 2) as p from x, range(0, 9) t(k) group by i0, f, k)
+select i0, k as i1, round(avg(p) / (select sum(w * w) from w), 6) as v from p group by i0, k""")
 def periodogram(spark, sf):
     from lattica.ndarray import along_axis
 
@@ -847,7 +857,7 @@ def shifted_image(spark, sf):
     return out(im.shift3(sh.subscript(emb(spark, sf), slice(0, 200), slice(0, 64)), 0.5, -0.25))
 
 
-@q()
+@q(f"select i0, i1, round(v - avg(v) over (), 4) as v from {EM} where i0 < 60")
 def poisson_solved(spark, sf):
     return out(im.antilaplace2d(im.laplace2d(sh.subscript(emb(spark, sf), slice(0, 60), slice(0, 64)))))
 
