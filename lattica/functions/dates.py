@@ -76,6 +76,48 @@ def jdn_to_egyptian(j: Column) -> Column:
     return F.struct((_div(k, 365) + 1).alias("year"), (_div(r, 30) + 1).alias("month"), (F.pmod(r, F.lit(30)) + 1).alias("day"))
 
 
+def jdn_to_mayan(j: Column) -> Column:
+    """Long count (baktun, katun, tun, uinal, kin) of a Julian day number."""
+    k = j - 584283
+    return F.struct(_div(k, 144000).alias("baktun"), F.pmod(_div(k, 7200), F.lit(20)).alias("katun"), F.pmod(_div(k, 360), F.lit(20)).alias("tun"), F.pmod(_div(k, 20), F.lit(18)).alias("uinal"), F.pmod(k, F.lit(20)).alias("kin"))
+
+
+def mayan_to_jdn(baktun: Column, katun: Column, tun: Column, uinal: Column, kin: Column) -> Column:
+    return 584283 + baktun * 144000 + katun * 7200 + tun * 360 + uinal * 20 + kin
+
+
+def latin_date(y: int, m: int, d: int) -> str:
+    """A date of the common calendar in the Roman way of counting to the next kalends, nones or ides.
+
+    The day that a leap year puts into February is simply counted.
+    """
+    # Names of the months, and of the days that are counted to, as the day itself and as a goal.
+    months = ("Ianuarias", "Februarias", "Martias", "Apriles", "Maias", "Iunias", "Iulias", "Augustas", "Septembres", "Octobres", "Novembres", "Decembres")
+    goals = {"Kalendas": "Kalendis", "Nonas": "Nonis", "Idus": "Idibus"}
+    nones, ides = (7, 15) if m in (3, 5, 7, 10) else (5, 13)
+    leap = y % 4 == 0 and (y % 100 != 0 or y % 400 == 0 or y < 1583)
+    length = 29 if m == 2 and leap else (31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31)[m - 1]
+    if d == 1:
+        left, goal, month = 1, "Kalendas", m
+    elif d <= nones:
+        left, goal, month = nones - d + 1, "Nonas", m
+    elif d <= ides:
+        left, goal, month = ides - d + 1, "Idus", m
+    else:
+        left, goal, month = length - d + 2, "Kalendas", m % 12 + 1
+    if left == 1:
+        return f"{goals[goal]} {months[month - 1]}"
+    return f"pridie {goal} {months[month - 1]}" if left == 2 else f"a.d. {_roman(left)} {goal} {months[month - 1]}"
+
+
+def _roman(n: int) -> str:
+    out = ""
+    for v, r in ((10, "X"), (9, "IX"), (5, "V"), (4, "IV"), (1, "I")):
+        while n >= v:
+            out, n = out + r, n - v
+    return out
+
+
 def hebrew_new_year(y: int) -> int:
     """Julian day number of 1 Tishri of a Hebrew year."""
     last, this, after = (_hebrew_delay(z) for z in (y - 1, y, y + 1))

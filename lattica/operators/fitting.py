@@ -111,6 +111,19 @@ def cspline(x: Sequence[float], y: Sequence[float], at: Sequence[float], periodi
     return (m[k] * a**3 + m[k + 1] * b**3) / (6 * h) + (y[k] / h - m[k] * h / 6) * a + (y[k + 1] / h - m[k + 1] * h / 6) * b
 
 
+def cspline_integral(x: Sequence[float], y: Sequence[float], at: Sequence[float]) -> np.ndarray:
+    """Integral of the cubic spline from the first knot to each place within the knots."""
+    x, y, at = np.asarray(x, float), np.asarray(y, float), np.asarray(at, float)
+    _, m = spline(x, y)
+    h = np.diff(x)
+    whole = np.concatenate([[0], np.cumsum(h * (y[1:] + y[:-1]) / 2 - h**3 * (m[1:] + m[:-1]) / 24)])
+    k = np.clip(np.searchsorted(x, at, "right") - 1, 0, len(x) - 2)
+    w, b = h[k], at - x[k]
+    a = w - b
+    part = m[k] * (w**4 - a**4) / (24 * w) + m[k + 1] * b**4 / (24 * w) + (y[k] / w - m[k] * w / 6) * (w**2 - a**2) / 2 + (y[k + 1] / w - m[k + 1] * w / 6) * b**2 / 2
+    return whole[k] + part
+
+
 def akima(x: Sequence[float], y: Sequence[float], at: Sequence[float]) -> np.ndarray:
     """Values of the Akima spline through (x, y)."""
     x, y, at = np.asarray(x, float), np.asarray(y, float), np.asarray(at, float)

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lattica.ndarray import NdArray, own, tiled, windowed, with_row_index
+from lattica.ndarray import NdArray, own, prefix, tiled, windowed, with_row_index
+from lattica.operators.windows import differ
 
 
 def sieve(a: NdArray, condition: Column | None = None) -> DataFrame:
@@ -48,10 +49,21 @@ def replace(df: DataFrame, column: str, table: DataFrame, source: str = "source"
     return df.join(t, F.col(column) == F.col("__s"), "left").withColumn(column, F.coalesce("__t", column)).drop("__s", "__t")
 
 
-def tolookup(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
-    """The unique values with their index (i0, value), and `df` with `lookup` in place of the values."""
-    unique = with_row_index(df.select(F.col(column).alias("value")).where(F.col(column).isNotNull()).distinct(), [F.col("value")])
-    return unique.select("i0", "value"), df.join(unique.withColumnsRenamed({"value": column, "i0": "lookup"}), column, "left").drop(column)
+def tolookup(df: DataFrame, column: str, tolerance: float = 0) -> tuple[DataFrame, DataFrame]:
+    """The unique values with their index (i0, value), and `df` with `lookup` in place of the values.
+
+    With a tolerance, values in order that are no further apart than it are one, named by the least.
+    """
+    unique = with_row_index(df.select(F.col(column).alias("value")).where(F.col(column).isNotNull()).distinct(), [F.col("value")]).select("i0", "value")
+    if not tolerance:
+        return unique, df.join(unique.withColumnsRenamed({"value": column, "i0": "lookup"}), column, "left").drop(column)
+    size = int(unique.count())
+    steps = NdArray(unique.withColumnRenamed("value", "v"), (size,))
+    far = differ(steps, -1).with_index(lambda v, i: ((i == 0) | (v > tolerance)).cast("bigint"))
+    group = prefix(far, 0, F.sum, lambda x, y: x + y).df.select("i0", (F.col("v") - 1).alias("lookup"))
+    named = unique.join(group, "i0")
+    least = named.groupBy(F.col("lookup").alias("i0")).agg(F.min("value").alias("value"))
+    return least, df.join(named.select(F.col("value").alias(column), "lookup"), column, "left").drop(column)
 
 
 def multisieve(x: DataFrame, value: str, place: str, y: DataFrame, key: str) -> DataFrame:

@@ -153,6 +153,13 @@ def test_lookups(spark):
     assert sorted((r["place"], r["lookup"]) for r in looked.collect()) == [(0, 0), (1, 1), (2, 1), (3, 2)]
 
 
+def test_lookup_with_tolerance(spark):
+    df = spark.createDataFrame([(k, v) for k, v in enumerate([1.0, 5.0, 1.2, 9.0, 1.4, 5.1])], "k int, x double")
+    least, looked = sel.tolookup(df, "x", 0.3)
+    assert [r["value"] for r in least.orderBy("i0").collect()] == [1.0, 5.0, 9.0]
+    assert [r["lookup"] for r in looked.orderBy("k").collect()] == [0, 1, 0, 2, 0, 1]
+
+
 def test_spans(spark):
     a = NdArray.of(spark, [0, 1, 1, 0, 0, 1, 0, 1, 1, 1])
     assert sorted(map(tuple, red.findspans(a).collect())) == [(1, 2), (5, 1), (7, 3)]
@@ -178,6 +185,7 @@ def test_fits_and_splines():
     assert np.abs(fit.cspline(x, y, at) - np.sin(at)).max() < 5e-3
     assert np.abs(fit.akima(x, y, at) - np.sin(at)).max() < 2e-2
     assert np.allclose(fit.cspline(x, y, x), y) and np.allclose(fit.monotone_interpolate(x, y, x), y) and np.allclose(fit.tension_spline(x, y, x, 2.0), y)
+    assert np.abs(fit.cspline_integral(x, y, at) - (1 - np.cos(at))).max() < 5e-3
     up = fit.monotone_interpolate([0, 1, 2, 3], [0, 0.1, 5, 5.1], np.linspace(0, 3, 100))
     assert (np.diff(up) >= -1e-12).all()
     assert np.allclose(fit.cspline_find(x, y, 0.5), [math.asin(0.5), math.pi - math.asin(0.5)], atol=5e-3)

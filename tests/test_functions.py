@@ -55,6 +55,8 @@ def test_calendars(spark):
         df = spark.range(2400000, 2403000, 7).select("id", g(F.col("id")).alias("g"))
         assert df.where(f(F.col("g.year"), F.col("g.month"), F.col("g.day")) != F.col("id")).count() == 0
     assert one(spark, dates.islamic_to_jdn(*d(1, 1, 1))) == 1948440 and dates.hebrew_to_jdn(5784, 7, 1) == 2460204 and dates.hebrew_to_jdn(5785, 7, 1) == 2460587
+    assert tuple(one(spark, dates.jdn_to_mayan(F.lit(2456283)))) == (13, 0, 0, 0, 0) and one(spark, dates.mayan_to_jdn(*d(13, 0, 0, 0, 0))) == 2456283
+    assert dates.latin_date(2023, 3, 15) == "Idibus Martias" and dates.latin_date(2023, 3, 14) == "pridie Idus Martias" and dates.latin_date(2023, 1, 30) == "a.d. III Kalendas Februarias"
     assert tuple(one(spark, dates.easter(F.lit(2024)))) == (3, 31)
     assert one(spark, dates.jd(F.lit("2000-01-01 12:00:00").cast("timestamp"))) == 2451545.0
     assert one(spark, dates.leap_seconds(F.lit("2020-01-01").cast("timestamp"))) == 37
@@ -167,3 +169,16 @@ def test_workspace(spark):
     assert w.execute("select twice(2.5) as t").first()["t"] == 5.0
     w.delete("x")
     assert not w.defined("x")
+
+
+def test_tumbling_windows_on_a_stream(spark, tmp_path):
+    from lattica.streaming.windows import tumbling
+
+    rows = [(f"2024-01-01 {h:02d}:{m:02d}:00", f"k{m % 2}", 1.5) for h in range(4) for m in range(0, 60, 10)]
+    t = spark.createDataFrame(rows, "ts string, key string, value double").withColumn("ts", F.col("ts").cast("timestamp"))
+    t.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(t.schema).parquet(str(tmp_path / "in"))
+    query = tumbling(stream, "ts", "key", "value").writeStream.outputMode("append").format("memory").queryName("tumbled").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination(60)
+    got, want = ({tuple(r) for r in df.collect()} for df in (spark.table("tumbled"), tumbling(t, "ts", "key", "value")))
+    assert got and got <= want
