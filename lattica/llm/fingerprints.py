@@ -9,13 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lattica.llm.common import table
+from lattica.llm.common import lowest_hashes, table
 
 #: Bins (a power of two), stored bits of each bin, words of a shingle.
 BIN_BITS, BITS, SHINGLE = 7, 8, 5
 BINS = 1 << BIN_BITS
-#: Text bytes of a range of documents, and ranges at most.
-RANGE_BYTES, MAX_RANGES = 16 << 20, 100_000
+#: Text bytes of a range of documents, ranges at most, and sampled ids for each range's bound.
+RANGE_BYTES, MAX_RANGES, RANGE_SAMPLE = 16 << 20, 50_000, 20
 #: Donors tried one by one before all the rest are looked at together.
 FIRST_DONORS = 6
 
@@ -77,14 +77,15 @@ def fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def _ranges(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, int]:
-    """The number of a row's id range, and how many there are; bounds are quantiles of the ids, of bounded number.
+    """The number of a row's id range, and how many there are; bounds are quantiles of a bounded sample of the ids.
 
     Any bounds give the same result.  Two levels of bounds keep the search short.
     """
-    bounds, total = [], docs.agg(F.sum(F.octet_length(F.coalesce(F.col(text_col), F.lit("")))).alias("b")).first()[0] or 0
-    n = max(1, min(MAX_RANGES, -(-total // RANGE_BYTES)))
+    bounds = []
+    total, rows = docs.agg(F.sum(F.octet_length(F.coalesce(F.col(text_col), F.lit("")))), F.count("*")).first()
+    n = max(1, min(MAX_RANGES, -(-(total or 0) // RANGE_BYTES)))
     if n > 1:
-        found = docs.agg(F.percentile_approx(id_col, [i / n for i in range(1, n)], 20 * n)).first()[0] or []
+        found = lowest_hashes(docs.select(id_col), id_col, RANGE_SAMPLE * n, rows).agg(F.percentile_approx(id_col, [i / n for i in range(1, n)], 20 * n)).first()[0] or []
         bounds = sorted(set(found))
     group = max(1, int(len(bounds) ** 0.5))
     groups = [bounds[i : i + group] for i in range(0, len(bounds), group)] or [[]]
