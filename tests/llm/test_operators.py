@@ -419,3 +419,14 @@ def test_exchange_never_lowers_the_likelihood():
     assert fitness(cls) > fitness(start) and cls[0] == 0 and (cls[1:] > 0).all()
     pairs = [(a, b) for a in range(1, 40) for b in range(1, a)]
     assert np.mean([(cls[a] == cls[b]) == (kind[a] == kind[b]) for a, b in pairs]) > 0.95
+
+
+def test_lowest_hashes_hold_what_is_sorted(spark):
+    from lattica.llm.common import lowest_hashes
+
+    df = spark.range(50_000).withColumnRenamed("id", "doc_id")
+    h = F.xxhash64(F.col("doc_id").cast("string"))
+    some = lowest_hashes(df, "doc_id", 500, 50_000)
+    assert 500 <= some.count() <= 1500
+    assert [r[0] for r in some.orderBy(h).limit(500).collect()] == [r[0] for r in df.orderBy(h).limit(500).collect()]
+    assert lowest_hashes(df, "doc_id", 500, 600).count() == 50_000
