@@ -15,8 +15,8 @@ from collections.abc import Callable
 import numpy as np
 
 MARK = "▁"
-#: Chunks a table holds, and the longest chunk that it holds.
-TABLE_SIZE, TABLE_CHUNK = 1_000_000, 48
+#: Chunks of each of a table's two generations, and the longest chunk that it holds.
+TABLE_SIZE, TABLE_CHUNK = 250_000, 48
 
 
 class PieceModel:
@@ -93,16 +93,22 @@ class PieceModel:
 
 
 class ChunkTable(dict):
-    """What each distinct chunk comes to; filled as chunks are met."""
+    """What each distinct chunk comes to; filled as chunks are met.
+
+    When it is full it becomes the older generation, from which chunks that are met again come back.
+    """
 
     def __init__(self, fn: Callable[[str], object]):
         super().__init__()
-        self.fn = fn
+        self.fn, self.older = fn, {}
 
     def __missing__(self, key: str):
-        value = self.fn(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.fn(key)
         if len(key) <= TABLE_CHUNK:
             if len(self) >= TABLE_SIZE:
+                self.older = dict(self)
                 self.clear()
             self[key] = value
         return value

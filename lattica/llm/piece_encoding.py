@@ -8,9 +8,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lattica.llm import bpe
-from lattica.llm.common import map_texts, table
+from lattica.llm.common import map_texts, slices, table
 
 
 def _encoder(model: str | None):
@@ -31,7 +32,7 @@ def encode(docs: DataFrame, text_col: str = "text", model: str | None = None) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, ids_of = _encoder(model)
-        for b in batches:
+        for b in slices(batches, 500):
             raw = [ids_of(t) for t in b.column(keep.index(text_col)).fill_null("").to_pylist()]
             at = np.concatenate([[0], np.cumsum([len(x) // 4 for x in raw])]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(raw), "<i4")))
@@ -47,13 +48,31 @@ def decode(docs: DataFrame, ids_col: str = "ids", text_col: str = "text", model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece, _ = _encoder(model)
-        for b in batches:
+        for b in slices(batches, 500):
             texts = [piece.processor.decode(x.as_py() or []) for x in b.column(keep.index(ids_col))]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*keep, text_col])
 
     return docs.select(*keep).mapInArrow(run, schema)
 
 
+def round_trip(docs: DataFrame, text_col: str = "text", model: str | None = None) -> DataFrame:
+    """`encode`, then `decode` into `text_col`, in one pass over the rows; columns of `docs` and ids."""
+    keep = [c for c in docs.columns if c not in ("ids", text_col)]
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "ids array<int>", f"`{text_col}` string"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece, ids_of = _encoder(model)
+        for b in slices(batches, 500):
+            raw = [np.frombuffer(ids_of(t), "<i4") for t in b.column(len(keep)).fill_null("").to_pylist()]
+            at = np.cumsum([0, *map(len, raw)]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(raw)))
+            texts = pa.array([piece.processor.decode(x.tolist()) for x in raw], pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], ids, texts], names=[*keep, "ids", text_col])
+
+    return docs.select(*keep, F.col(text_col).cast("string")).mapInArrow(run, schema)
+
+
 def encoding_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None) -> DataFrame:
     """`id_col`, n_tokens, ids_sha256 and decoded_sha256 of every row, from the ids that `encode` gives."""
 
