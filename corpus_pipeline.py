@@ -16,7 +16,7 @@ from lattica.llm.common import removed, shared_folder, stored, table
 from lattica.llm.mixing import mix
 from lattica.llm.near_copies import drop_near_copies
 from lattica.llm.pii import sanitise
-from lattica.llm.piece_encoding import decode, encode
+from lattica.llm.piece_encoding import round_trip
 from lattica.llm.rule_ensemble import drop_low_quality
 
 
@@ -42,7 +42,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' ids with begin and end, their number, and the text that they decode to."""
-    out = decode(encode(docs.select("doc_id", "lang", "source", "text")))
+    out = round_trip(docs.select("doc_id", "lang", "source", "text"))
     return out.withColumn("n_tokens", F.size("ids").cast("bigint"))
 
 
