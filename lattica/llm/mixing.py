@@ -14,7 +14,7 @@ WEIGHTS = (5, 2, 1)
 #: A source gives each of its words this many times at most.
 MAX_EPOCHS = 3
 #: Documents in a key range on average, and the number of sources up to which their table is broadcast.
-RANGE_ROWS, BROADCAST_SOURCES = 20_000, 100_000
+RANGE_ROWS, BROADCAST_SOURCES = 4_000, 100_000
 
 
 def words_in(text: Column) -> Column:
