@@ -106,7 +106,7 @@ def revealing_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     An entity is a value that a pattern finds.  Over different texts: n_e have entity e, n_t have term t,
     n_te have t near e, of N texts.  PMI(t;e) = log2(N n_te / (n_t n_e)) is measured against the
-    information of e, log2(N / n_e).  Equal texts count once, so that copies do not reveal.
+    information of e, log2(N / n_e).  Equal texts count once in all four.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(text.alias("__text"))
@@ -120,11 +120,9 @@ def revealing_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     entities = near.groupBy("entity").agg(F.count_distinct("__key").alias("n_e")).where(F.col("n_e") >= MIN_SUPPORT)
     pairs = near.where(F.col("term").isNotNull()).groupBy("entity", "term").agg(F.count_distinct("__key").alias("n_te")).where(F.col("n_te") >= MIN_SUPPORT)
     pairs = checkpointed(pairs.join(entities, "entity"))
-    # Corpus counts of terms. Each text is cut into its different terms once, copies of it included: a
-    # term's n_t is then at least its number of different texts, and the measure errs to revealing less.
-    terms = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("__text"), F.lit(TERM), F.lit(0)))).alias("term"))
+    terms = rows.withColumn("__key", F.sha2("__text", 256)).dropDuplicates(["__key"]).select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("__text"), F.lit(TERM), F.lit(0)))).alias("term"))
     n_t = terms.groupBy("term").agg(F.count("*").alias("n_t"))
-    n = max(1, docs.count())
+    n = max(1, rows.select(F.sha2("__text", 256)).distinct().count())
     pmi = F.log2(F.lit(float(n)) * F.col("n_te") / (F.col("n_t").cast("double") * F.col("n_e")))
     share = pmi / F.greatest(F.log2(F.lit(float(n)) / F.col("n_e")), F.lit(1e-9))
     kind = F.when(share >= REMOVE, "removed").when(share >= GENERALISE, "term")

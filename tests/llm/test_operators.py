@@ -233,6 +233,17 @@ def test_pii_revealing_terms(spark):
     assert "zorbington" not in pii.sanitise(df).where("doc_id = 100").first()["text"]
 
 
+def pii_found(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    return {r["doc_id"]: [(x["kind"], r["text"][x["start"] : x["end"]]) for x in r["pii_spans"]] for r in pii.find_pii(df).collect()}
+
+
+def test_pii_copies_count_once(spark):
+    told = [f"{prose('aa', 8)} hotline jo@ex.org {prose('aa', 8)}" for _ in range(4)]
+    got = pii_found(spark, told + [told[0]] * 200 + [prose("aa", 30) for _ in range(100)])
+    assert all(("removed", "hotline") in got[k] for k in range(204))
+
+
 def test_mixing(docs, empty):
     out = mix_amounts(docs).collect()
     size = {(r[0], r[1]): len(WS.findall(r[1] or "")) for r in ROWS}
