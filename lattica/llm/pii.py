@@ -101,10 +101,18 @@ def _context(text: Column, span: Column) -> Column:
     return F.concat(move(last, begin), move(F.slice(right_terms, F.lit(1), F.lit(CONTEXT_TERMS)), span["end"]))
 
 
+def levels(kind: Column, s: Column) -> Column:
+    """What a found value is counted as: itself, its group (domain, network, issuer, number prefix) and its kind."""
+    digits = F.regexp_replace(s, "[^0-9]", "")
+    group = F.when(kind == "email", F.lower(F.substring_index(s, "@", -1))).when(kind == "ip", F.substring_index(s, ".", 2))
+    group = group.when(kind == "card", F.substring(digits, 1, 6)).otherwise(F.substring(digits, 1, 4))
+    return F.array(F.concat(F.lit("value "), s), F.concat(F.lit("group "), kind, F.lit(" "), group), F.concat(F.lit("kind "), kind))
+
+
 def revealing_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """For each text (by its hash, __key) with terms that reveal its entities: __terms, array of (kind, start, end).
 
-    An entity is a value that a pattern finds.  Over different texts: n_e have entity e, n_t have term t,
+    An entity is a value that a pattern finds, its group or its kind (`levels`).  Over different texts: n_e have entity e, n_t have term t,
     n_te have t near e, of N texts.  PMI(t;e) = log2(N n_te / (n_t n_e)) is measured against the
     information of e, log2(N / n_e).  Equal texts count once in all four.
     """
@@ -112,10 +120,11 @@ def revealing_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     rows = docs.select(text.alias("__text"))
     found = rows.where(F.contains("__text", F.lit("@")) | F.col("__text").rlike("[0-9]")).withColumn("__spans", base_spans(F.col("__text"))).where(F.size("__spans") > 0)
     near = found.select(F.sha2("__text", 256).alias("__key"), "__text", "__spans", F.explode("__spans").alias("e"))
-    near = near.select("__key", "__spans", F.col("e.s").alias("entity"), F.explode_outer(_context(F.col("__text"), F.col("e"))).alias("t"))
+    near = near.select("__key", "__spans", F.col("e.kind").alias("kind"), F.col("e.s").alias("s"), F.explode_outer(_context(F.col("__text"), F.col("e"))).alias("t"))
     apart = ~F.exists("__spans", lambda x: (x["start"] < F.col("t.end")) & (F.col("t.start") < x["end"]))
-    near = near.select("__key", "entity", F.when(apart, F.col("t.s")).alias("term"), F.col("t.start").alias("start"), F.col("t.end").alias("end"))
+    near = near.select("__key", "kind", "s", F.when(apart, F.col("t.s")).alias("term"), F.col("t.start").alias("start"), F.col("t.end").alias("end"))
     near = checkpointed(near.dropDuplicates())
+    near = near.select("__key", F.explode(levels(F.col("kind"), F.col("s"))).alias("entity"), "term", "start", "end")
 
     entities = near.groupBy("entity").agg(F.count_distinct("__key").alias("n_e")).where(F.col("n_e") >= MIN_SUPPORT)
     pairs = near.where(F.col("term").isNotNull()).groupBy("entity", "term").agg(F.count_distinct("__key").alias("n_te")).where(F.col("n_te") >= MIN_SUPPORT)
