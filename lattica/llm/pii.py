@@ -39,13 +39,13 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def located(text: Column, pattern: str) -> Column:
+def located(text: Column, pattern: str | Column) -> Column:
     """Leftmost non-overlapping matches of `pattern` with their code-point offsets: array of (start, end, s).
 
     The pieces between the matches and the matches themselves are lengths that add up to the offsets.
     """
     between = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    found = F.regexp_extract_all(text, pattern if isinstance(pattern, Column) else F.lit(pattern), F.lit(0))
     none = F.array().cast(_SPAN)
     start = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
@@ -109,35 +109,47 @@ def levels(kind: Column, s: Column) -> Column:
     return F.array(F.concat(F.lit("value "), s), F.concat(F.lit("group "), kind, F.lit(" "), group), F.concat(F.lit("kind "), kind))
 
 
-def revealing_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """For each text (by its hash, __key) with terms that reveal its entities: __terms, array of (kind, start, end).
+def revealing_terms(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """For each text (by its hash, __key) that holds entities and terms that reveal them: __terms, array of (term, kind).
 
-    An entity is a value that a pattern finds, its group or its kind (`levels`).  Over different texts: n_e have entity e, n_t have term t,
-    n_te have t near e, of N texts.  PMI(t;e) = log2(N n_te / (n_t n_e)) is measured against the
-    information of e, log2(N / n_e).  Equal texts count once in all four.
+    An entity is a value that a pattern finds, its group or its kind (`levels`).  Over different texts: n_e
+    have entity e, n_t have term t, n_te have t near e, of N texts.  PMI(t;e) = log2(N n_te / (n_t n_e)) is
+    measured against the information of e, log2(N / n_e).  Equal texts count once in all four.  A term that
+    reveals an entity is listed for every text that holds the entity and has the term, wherever it stands.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(text.alias("__text"))
-    found = rows.where(F.contains("__text", F.lit("@")) | F.col("__text").rlike("[0-9]")).withColumn("__spans", base_spans(F.col("__text"))).where(F.size("__spans") > 0)
-    near = found.select(F.sha2("__text", 256).alias("__key"), "__text", "__spans", F.explode("__spans").alias("e"))
-    near = near.select("__key", "__spans", F.col("e.kind").alias("kind"), F.col("e.s").alias("s"), F.explode_outer(_context(F.col("__text"), F.col("e"))).alias("t"))
+    rows = docs.select(text.alias("__text")).withColumn("__key", F.sha2("__text", 256))
+    words = F.array_distinct(F.regexp_extract_all(F.lower("__text"), F.lit(TERM), F.lit(0)))
+    may = rows.where(F.contains("__text", F.lit("@")) | F.col("__text").rlike("[0-9]"))
+    found = may.withColumn("__spans", base_spans(F.col("__text"))).where(F.size("__spans") > 0)
+    near = found.select("__key", "__text", "__spans", F.explode("__spans").alias("e"))
+    near = near.select("__key", "__spans", "e", F.explode_outer(_context(F.col("__text"), F.col("e"))).alias("t"))
     apart = ~F.exists("__spans", lambda x: (x["start"] < F.col("t.end")) & (F.col("t.start") < x["end"]))
-    near = near.select("__key", "kind", "s", F.when(apart, F.col("t.s")).alias("term"), F.col("t.start").alias("start"), F.col("t.end").alias("end"))
+    near = near.select("__key", F.col("e.kind").alias("kind"), F.col("e.s").alias("s"), F.when(apart, F.col("t.s")).alias("term"))
     near = checkpointed(near.dropDuplicates())
-    near = near.select("__key", F.explode(levels(F.col("kind"), F.col("s"))).alias("entity"), "term", "start", "end")
+    near = near.select("__key", "term", F.explode(levels(F.col("kind"), F.col("s"))).alias("entity")).dropDuplicates()
 
-    entities = near.groupBy("entity").agg(F.count_distinct("__key").alias("n_e")).where(F.col("n_e") >= MIN_SUPPORT)
-    pairs = near.where(F.col("term").isNotNull()).groupBy("entity", "term").agg(F.count_distinct("__key").alias("n_te")).where(F.col("n_te") >= MIN_SUPPORT)
+    holders = near.select("__key", "entity").dropDuplicates()
+    entities = holders.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= MIN_SUPPORT)
+    pairs = near.where(F.col("term").isNotNull()).groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= MIN_SUPPORT)
     pairs = checkpointed(pairs.join(entities, "entity"))
-    terms = rows.withColumn("__key", F.sha2("__text", 256)).dropDuplicates(["__key"]).select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("__text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    n_t = terms.groupBy("term").agg(F.count("*").alias("n_t"))
-    n = max(1, rows.select(F.sha2("__text", 256)).distinct().count())
+    n_t = rows.dropDuplicates(["__key"]).select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    n = max(1, rows.select("__key").distinct().count())
     pmi = F.log2(F.lit(float(n)) * F.col("n_te") / (F.col("n_t").cast("double") * F.col("n_e")))
     share = pmi / F.greatest(F.log2(F.lit(float(n)) / F.col("n_e")), F.lit(1e-9))
     kind = F.when(share >= REMOVE, "removed").when(share >= GENERALISE, "term")
-    revealing = pairs.join(n_t, "term").withColumn("kind", kind).where(F.col("kind").isNotNull()).select("entity", "term", "kind")
-    spans = near.join(revealing, ["entity", "term"]).groupBy("__key", "start", "end").agg(F.min("kind").alias("kind"))
-    return spans.groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("__terms"))
+    revealing = checkpointed(pairs.join(n_t, "term").withColumn("kind", kind).where(F.col("kind").isNotNull()).select("entity", "term", "kind"))
+    held = may.select("__key", F.explode(words).alias("term")).join(revealing, "term").join(holders, ["__key", "entity"])
+    held = held.groupBy("__key", "term").agg(F.min("kind").alias("kind"))
+    return held.groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("term", "kind"))).alias("__terms"))
+
+
+def _term_spans(text: Column, terms: Column, base: Column) -> Column:
+    """All places in a text of the terms listed for it, apart from its base spans: array of (kind, start, end)."""
+    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.transform(terms, lambda x: x["term"]), "|"), F.lit(r")(?!\p{L})"))
+    kind = lambda s: F.coalesce(F.get(F.filter(terms, lambda x: x["term"] == F.lower(s)), 0)["kind"], F.lit("term"))
+    apart = F.filter(located(text, pattern), lambda x: ~F.exists(base, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
+    return F.array_sort(F.transform(apart, lambda x: F.struct(kind(x["s"]).alias("kind"), x["start"].alias("start"), x["end"].alias("end"))))
 
 
 def find_pii(docs: DataFrame, text_col: str = "text", spans_col: str = "pii_spans") -> DataFrame:
@@ -147,10 +159,11 @@ def find_pii(docs: DataFrame, text_col: str = "text", spans_col: str = "pii_span
     reveals more).  Texts without base spans get none of these.  Null texts are empty and have no span.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    terms = revealing_spans(docs, text_col)
+    terms = revealing_terms(docs, text_col)
     rows = docs.drop(spans_col).withColumns({"__key": F.sha2(text, 256), "__base": base_spans(text)})
     slim = F.transform("__base", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
-    added = F.coalesce(F.col("__terms"), F.array().cast("array<struct<kind:string,start:int,end:int>>"))
+    none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
+    added = F.when(F.col("__terms").isNotNull(), _term_spans(text, F.col("__terms"), F.col("__base"))).otherwise(none)
     return rows.join(terms, "__key", "left").withColumn(spans_col, F.concat(slim, added)).drop("__key", "__base", "__terms")
 
 

@@ -250,6 +250,13 @@ def test_pii_copies_count_once(spark):
     assert all(("removed", "hotline") in got[k] for k in range(204))
 
 
+def test_pii_terms_in_the_whole_text(spark):
+    told = [f"{prose('aa', 8)} hotline jo@ex.org {prose('aa', 8)}" for _ in range(4)]
+    far = f"Hotline {prose('aa', 60)} jo@ex.org {prose('aa', 60)} HOTLINE hotlines"
+    got = pii_found(spark, [*told, far, *(prose("aa", 30) for _ in range(60))])
+    assert [s for s in got[4] if s[1].lower().startswith("hot")] == [("term", "Hotline"), ("term", "HOTLINE")]
+
+
 def test_mixing(docs, empty):
     out = mix_amounts(docs).collect()
     size = {(r[0], r[1]): len(WS.findall(r[1] or "")) for r in ROWS}
