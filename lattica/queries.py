@@ -384,6 +384,12 @@ def multisieved(spark, sf):
     return sel.multisieve_ends(sel.multisieve(tab(spark, sf, "events"), "user_id", "event_id", y, "k"), "k")
 
 
+@q()
+def multisieved_whole(spark, sf):
+    y = tab(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"))
+    return sel.multisieve_ends(sel.multisieve(tab(spark, sf, "events"), "user_id", "event_id", y, "k"), "k")
+
+
 @q(f"select i0, max(v) over (order by i0 rows between 3 preceding and 3 following) as v from {EV}")
 def maxfiltered(spark, sf):
     return sel.maxfilter(ev(spark, sf), 0, 7).df
@@ -535,6 +541,11 @@ def power_spectrum(spark, sf):
     return p.df.select("i0", "i1", (F.round(F.col("v") / F.when(F.col("i1") == 0, 1).otherwise(2), 6) * F.when(F.col("i1") == 0, 1).otherwise(2)).alias("v"))
 
 
+@q()
+def power_spectrum_whole(spark, sf):
+    return out(sp.power(emb(spark, sf), 1), 6)
+
+
 @q(f"select i0, i1, round(v, 6) as v from {EM}")
 def fourier_round_trip(spark, sf):
     return out(sp.fftb(sp.fft(emb(spark, sf), 1), 1), 6)
@@ -597,7 +608,7 @@ def regions(spark, sf):
 
 @q()
 def basins(spark, sf):
-    return im.basin(sh.subscript(emb(spark, sf), slice(0, 60), slice(0, 64))).df
+    return im.basin(emb(spark, sf)).df
 
 
 @q(f"select i0, i1, round((v - lo) / (hi - lo) * 255, 4) as v from {EM}, (select min(v) as lo, max(v) as hi from {EM})")
@@ -854,7 +865,7 @@ def symmetric_eigenvalues(spark, sf):
 
 @q()
 def shifted_image(spark, sf):
-    return out(im.shift3(sh.subscript(emb(spark, sf), slice(0, 200), slice(0, 64)), 0.5, -0.25))
+    return out(im.shift3(emb(spark, sf), 0.5, -0.25))
 
 
 @q(f"select i0, i1, round(v - avg(v) over (), 4) as v from {EM} where i0 < 60")
@@ -862,6 +873,11 @@ def poisson_solved(spark, sf):
     return out(im.antilaplace2d(im.laplace2d(sh.subscript(emb(spark, sf), slice(0, 60), slice(0, 64)))))
 
 
+@q()
+def poisson_solved_whole(spark, sf):
+    return out(im.antilaplace2d(im.laplace2d(emb(spark, sf))))
+
+
 @q()
 def planet_places(spark, sf):
     j = dates.jd(F.col("o_orderdate"))
