@@ -170,7 +170,9 @@ def histr_value(spark, sf):
 
 @q("select b as i0, round(coalesce(sum(value), 0), 3) as v from range(0, 200) t(b) left join events on user_id = b group by 1")
 def distr_value(spark, sf):
-    return red.distr(tab(spark, sf, "events"), F.col("user_id"), F.col("value"), 200).select("i0", r4("v", places=3))
+    t = tab(spark, sf, "events")
+    bins = max(200, (t.agg(F.max("user_id")).first()[0] or 0) + 1)  # the SQL has 200
+    return red.distr(t, F.col("user_id"), F.col("value"), bins).select("i0", r4("v", places=3))
 
 
 @q(f"select i0, round(quantile_cont(v, 0.3), 6) as v from {EM} group by 1")

@@ -73,3 +73,8 @@ def test_queries_over_whole_arrays(spark, tables):
                 break
             a, b = a + da - 1, b + db - 1
         assert low[i, j] == a + b * len(x)
+
+
+def test_distr_has_a_bin_for_every_user(spark, tables):
+    want = [sum(0.5 * k for k in range(600) if k * 7 % 300 == b) for b in range(300)]
+    assert [v for _, v in sorted(map(tuple, q.QUERIES["distr_value"](spark, tables[0]).collect()))] == pytest.approx(want)
