@@ -454,3 +454,20 @@ def test_lowest_hashes_hold_what_is_sorted(spark):
     assert 500 <= some.count() <= 1500
     assert [r[0] for r in some.orderBy(h).limit(500).collect()] == [r[0] for r in df.orderBy(h).limit(500).collect()]
     assert lowest_hashes(df, "doc_id", 500, 600).count() == 50_000
+
+
+def test_exchange_goes_on_until_no_symbol_moves():
+    m = np.random.RandomState(0).poisson(0.7, (200, 200)).astype(float)
+    cls = class_lm.exchange(m, 9)
+
+    def fitness(c):
+        one = np.eye(9)[c]
+        g = one.T @ m @ one
+        f = lambda x: (x * np.log(np.maximum(x, 1e-300))).sum()
+        return f(g) - f(g.sum(axis=0)) - f(g.sum(axis=1))
+
+    best = fitness(cls)
+    assert best > fitness(class_lm.exchange(m, 9, 6))
+    for s in range(1, 200):
+        for k in range(1, 9):
+            assert fitness(np.r_[cls[:s], k, cls[s + 1 :]]) <= best + 1e-6
