@@ -252,7 +252,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     probability over the words, und (score 0) for a text without a letter.
     """
     rows = docs.where((remainder(id_col, folds) != held) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) <= MAX_TRAINING_CHARS))
-    rows = lowest_hashes(rows, id_col, 2 * max_rows, docs.count())  # a number from the files' footers, of all rows
+    rows = lowest_hashes(rows, id_col, 2 * max_rows, rows.count())  # the share is of rows that can be learned from
     sample = rows.select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l")).orderBy("h", "l", F.xxhash64("t")).limit(max_rows).collect()
     model = fit_crf([r["t"] for r in sample], [r["l"] for r in sample])
     sent = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES rows at most

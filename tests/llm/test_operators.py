@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.llm import bpe, class_lm, near_copies, pii, rule_ensemble
+from lattica.llm import bpe, class_lm, language_id, near_copies, pii, rule_ensemble
 from lattica.llm.class_lm import score
 from lattica.llm.fingerprints import BINS, edited_fingerprints, fingerprint_bins, fingerprints, likeness, packed
 from lattica.llm.host_rules import host_rules, host_verdicts
@@ -471,3 +471,11 @@ def test_exchange_goes_on_until_no_symbol_moves():
     for s in range(1, 200):
         for k in range(1, 9):
             assert fitness(np.r_[cls[:s], k, cls[s + 1 :]]) <= best + 1e-6
+
+
+def test_language_id_learns_from_few_labelled_rows_among_many(spark, monkeypatch):
+    df = spark.createDataFrame([(k, prose("aa", 5), ["aa", "bb"][k % 2] if k % 50 == k % 2 else None) for k in range(3000)], "doc_id bigint, text string, lang string")
+    learned = []
+    monkeypatch.setattr(language_id, "fit_crf", lambda texts, labels: learned.extend(labels) or fit_crf(texts, labels))
+    identify(df, max_rows=20)
+    assert len(learned) == 20
