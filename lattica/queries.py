@@ -213,6 +213,12 @@ def equivalence_classes(spark, sf):
     return red.equivalence(t)
 
 
+@q()
+def equivalence_classes_whole(spark, sf):
+    t = tab(spark, sf, "lineitem").select((2 * F.col("l_orderkey")).alias("a"), (2 * F.col("l_partkey") + 1).alias("b"))
+    return red.equivalence(t)
+
+
 @q(f"with m as {EM} select a.i1 as i0, b.i1 as i1, round(sum(a.v * b.v), 3) as v from m a join m b using (i0) group by a.i1, b.i1")
 def mproduct_gram(spark, sf):
     a = emb(spark, sf)

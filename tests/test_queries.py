@@ -78,3 +78,16 @@ def test_queries_over_whole_arrays(spark, tables):
 def test_distr_has_a_bin_for_every_user(spark, tables):
     want = [sum(0.5 * k for k in range(600) if k * 7 % 300 == b) for b in range(300)]
     assert [v for _, v in sorted(map(tuple, q.QUERIES["distr_value"](spark, tables[0]).collect()))] == pytest.approx(want)
+
+
+def test_equivalence_classes_over_whole_keys(spark, tmp_path):
+    order, part = [k // 3 for k in range(900)], [(k // 3) // 40 * 50 + k % 7 for k in range(900)]
+    pd.DataFrame({"l_orderkey": order, "l_partkey": part}).to_parquet(tmp_path / "lineitem.parquet")
+    root = {n: n for o, p in zip(order, part) for n in (2 * o, 2 * p + 1)}
+    while True:
+        old = dict(root)
+        for o, p in zip(order, part):
+            root[2 * o] = root[2 * p + 1] = min(root[2 * o], root[2 * p + 1])
+        if old == root:
+            break
+    assert dict(map(tuple, q.QUERIES["equivalence_classes_whole"](spark, str(tmp_path)).collect())) == root
