@@ -71,6 +71,12 @@ def lowest_hashes(df: DataFrame, id_col: str, rows: int, of: int) -> DataFrame:
     return df.where(F.xxhash64(F.col(id_col).cast("string")) <= F.lit(int(-(2**63) + share * 2**64)))
 
 
+def apart(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """`df` with its columns renamed to _c0, _c1, ..., which no operator uses, and the new name of each."""
+    names = {c: f"_c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
 def sql_type(df: DataFrame, col: str) -> str:
     return df.schema[col].dataType.simpleString()
 
@@ -101,6 +107,27 @@ def map_texts(df: DataFrame, keep: list[str], text: str, fn: Callable, out: str)
     return df.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 8192) -> Iterator[pa.Table]:
+    """Sorted batches as tables of whole groups (rows with equal `keys`), of about `rows` rows or one group."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= rows:
+            t = pa.Table.from_batches(held)
+            change = np.zeros(n - 1, bool)
+            for k in keys:
+                v = t.column(k).to_numpy()
+                change |= v[1:] != v[:-1]
+            last = np.flatnonzero(change)
+            if len(last):
+                yield t.slice(0, last[-1] + 1)
+                t = t.slice(last[-1] + 1)
+            held, n = t.to_batches(), t.num_rows
+    if n:
+        yield pa.Table.from_batches(held)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column, end to end, and the offset of each text (one more than rows)."""
     column = column.fill_null("")

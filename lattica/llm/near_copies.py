@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import functools
+import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import checkpointed, mix64, passes, sql_type, table, text_bytes, word_hashes, word_spans
+from lattica.llm.common import apart, checkpointed, mix64, passes, sql_type, table, text_bytes, whole_groups, word_hashes, word_spans
 
 #: Words of a shingle, and the least Jaccard similarity of a link.
 SHINGLE, THRESHOLD = 5, 0.8
@@ -22,8 +22,12 @@ HASHES = BAND_ROWS * BANDS
 #: MinHash values that are compared between two looks at the posterior, and the probability of reaching
 #: the threshold below which a pair is dropped.
 LOOK, TOLERANCE = 24, 1e-7
-#: Texts of a block; two blocks at most meet in a task.
-BLOCK = 256
+#: Texts and bytes of a block on average; two blocks at most meet in a task's group.
+BLOCK, BLOCK_BYTES = 2048, 16 << 20
+#: Pairs that are compared in one numpy pass.
+PASS_PAIRS = 1 << 18
+#: Parts that the edges of one node are dealt to in `components`.
+SALTS = 8
 
 _RNG = np.random.RandomState(20240311)
 _A = (_RNG.randint(0, 2**62, HASHES, dtype=np.int64).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -46,7 +50,7 @@ def shingles(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     value = np.zeros(len(h), np.uint64)
     for k in range(SHINGLE):
         part = np.zeros(len(h), np.uint64)
-        part[: len(h) - k] = h[k:]
+        part[: max(0, len(h) - k)] = h[k:]
         part[left <= k] = 0
         value = mix64(value * np.uint64(0x9E3779B97F4A7C15) + part)
     keep = (left >= SHINGLE) | (left == words[row])
@@ -60,9 +64,12 @@ def shingles(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def minhashes(value: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """HASHES MinHash values (32 bits) of each row of shingles; rows without shingles have zeros."""
+    """The low 16 bits of HASHES MinHash values of each row of shingles; rows without shingles have zeros.
+
+    Values that differ agree in these bits once in 65,536 times, which only lets a pair go on.
+    """
     n = len(at) - 1
-    out = np.zeros((n, HASHES), np.uint32)
+    out = np.zeros((n, HASHES), np.uint16)
     full = np.flatnonzero(at[1:] > at[:-1])
     if len(full):
         step = 1 << 15
@@ -73,70 +80,73 @@ def minhashes(value: np.ndarray, at: np.ndarray) -> np.ndarray:
             v = value[at[rows[0]] : at[rows[-1] + 1]]
             cut = at[rows] - at[rows[0]]
             for k in range(HASHES):
-                out[rows, k] = np.minimum.reduceat(((v ^ _B[k]) * _A[k]) >> np.uint64(32), cut)
+                out[rows, k] = (np.minimum.reduceat(((v ^ _B[k]) * _A[k]) >> np.uint64(32), cut) & np.uint64(0xFFFF)).astype(np.uint16)
             i = j
     return out
 
 
 def _bands(signature: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each band of each signature; its highest bits are the band's number."""
     s = signature.reshape(len(signature), BANDS, BAND_ROWS).astype(np.uint64)
-    out = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), s.shape[:2]).copy()
+    out = np.zeros(s.shape[:2], np.uint64)
     for k in range(BAND_ROWS):
-        out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + s[:, :, k])
-    return out.view(np.int64)
+        out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + s[:, :, k] + np.uint64(1))
+    return (out >> np.uint64(7) | np.arange(BANDS, dtype=np.uint64) << np.uint64(57)).view(np.int64)
 
 
 def _set_keys(value: np.ndarray, at: np.ndarray) -> list[bytes]:
     """A 128-bit key of each row's shingle set: equal for equal sets."""
-    import hashlib
-
     return [hashlib.blake2b(value[i:j].tobytes(), digest_size=16).digest() for i, j in zip(at[:-1], at[1:], strict=True)]
 
 
-def _text_hash(text_col: str) -> Column:
-    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("__text")
+def _text_hashes(text: Column) -> list[Column]:
+    """Two 64-bit hashes of a text, which together name it."""
+    whole = F.coalesce(text.cast("string"), F.lit(""))
+    return [F.xxhash64(whole).alias("h1"), F.xxhash64(F.lit(1), whole).alias("h2")]
 
 
-def _order_id(id_col: str) -> Column:
+def _order_id(id_: Column) -> Column:
     """The id as a number; a null id is the largest."""
-    return F.coalesce(F.col(id_col).cast("bigint"), F.lit(2**63 - 1))
+    return F.coalesce(id_.cast("bigint"), F.lit(2**63 - 1))
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, __text (a hash of the text), __set (key of the shingle set) and __bands (hashes of the bands) of each row."""
-    schema = f"`{id_col}` {sql_type(docs, id_col)}, __text bigint, __set binary, __bands array<bigint>"
+    """id, h1, h2 (hashes of the text), set (key of the shingle set), sig (MinHash values), shingles (their number) and bytes of each row."""
+    schema = f"id {sql_type(docs, id_col)}, h1 bigint, h2 bigint, set binary, sig binary, shingles int, bytes bigint"
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            buf, at = text_bytes(b.column(2))
+            buf, at = text_bytes(b.column(3))
             for i, j in passes(at):
                 value, cut = shingles(buf[at[i] : at[j]], at[i : j + 1] - at[i])
-                bands = _bands(minhashes(value, cut)).reshape(-1)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * BANDS), pa.array(bands))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(_set_keys(value, cut), pa.binary()), lists], names=[id_col, "__text", "__set", "__bands"])
+                sig = minhashes(value, cut)
+                heads = [b.column(k).slice(i, j - i) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([*heads, pa.array(_set_keys(value, cut), pa.binary()), pa.array([s.tobytes() for s in sig], pa.binary()), pa.array(np.diff(cut).astype(np.int32)), pa.array(np.diff(at[i : j + 1]))], names=names)
 
-    return docs.select(id_col, _text_hash(text_col), F.col(text_col).cast("string").alias("__whole")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("id"), *_text_hashes(F.col(text_col)), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of the edges (a, b): root is the component's smallest node.
 
     Rounds of hooking to the smallest neighbour and of shortening paths, each written to the checkpoint
-    folder; a star around a hub costs its number of edges, as neighbours are folded by minimum.
+    folder; a star around a hub costs its number of edges, as neighbours are folded by minimum, and its
+    edges are dealt to SALTS parts.
     """
-    links = checkpointed(edges.select("a", "b").where("a != b").dropDuplicates())
-    both = lambda e: e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    links = checkpointed(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").dropDuplicates())
+    turned = lambda e: e.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    salted = lambda e: e.withColumn("s", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
     while True:
-        least = both(links).groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+        least = links.union(turned(links)).groupBy("a").agg(F.min("b").alias("ma")).withColumn("ma", F.least("a", "ma"))
         # Each edge now joins the least neighbours of its ends, and each node its own.
-        la = least.select("a", F.col("m").alias("ma"))
-        lb = least.select(F.col("a").alias("b"), F.col("m").alias("mb"))
-        step = links.join(la, "a").select("ma", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")).join(la, "a").select("ma", "b"))
-        new = checkpointed(step.union(lb.select(F.col("mb").alias("ma"), "b")).where("ma != b").select(F.least("ma", "b").alias("a"), F.greatest("ma", "b").alias("b")).dropDuplicates())
+        dealt = least.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        step = salted(links.union(turned(links))).join(dealt, ["a", "s"]).select("ma", "b")
+        new = step.union(least.select("ma", F.col("a").alias("b"))).where("ma != b").select(F.least("ma", "b").alias("a"), F.greatest("ma", "b").alias("b"))
+        links = checkpointed(new.dropDuplicates())
         # Done when every edge goes from a root (a node that is nowhere the larger end) to a node with that edge only.
-        more = new.groupBy("b").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-        chained = new.select("a").join(new.select(F.col("b").alias("a")), "a", "left_semi").limit(1).count() if more == 1 else 1
-        links = new
+        more = links.groupBy("b").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        chained = links.select("a").distinct().join(links.select(F.col("b").alias("a")), "a", "left_semi").limit(1).count() if more == 1 else 1
         if more == 0 or more == 1 and not chained:
             break
     return links.select(F.col("b").alias("node"), F.col("a").alias("root")).union(links.select(F.col("a").alias("node"), F.col("a").alias("root")).dropDuplicates())
@@ -159,113 +169,189 @@ def least_matches() -> tuple[int, ...]:
     return tuple(out)
 
 
-def _links(sig_a, sets_a, sig_b, sets_b, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of the links between two blocks (of a block with itself, each pair once)."""
-    size_a, size_b = (np.array([len(s) for s in x], np.float64) for x in (sets_a, sets_b))
-    small, large = np.minimum(size_a[:, None], size_b[None, :]), np.maximum(size_a[:, None], size_b[None, :])
-    alive = (small >= THRESHOLD * large - 1e-9) & (small > 0)
-    if same:
-        alive &= np.triu(np.ones(alive.shape, bool), 1)
-    i, j = np.nonzero(alive)
+def prune(sig: np.ndarray, bands: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs (i, j) of rows, those whose first common band is `band` and that no look at the posterior drops."""
+    go = (bands[i, band] == bands[j, band]) & (np.minimum(size[i], size[j]) >= THRESHOLD * np.maximum(size[i], size[j]) - 1e-9) & (size[i] > 0)
+    i, j, band = i[go], j[go], band[go]
+    for k in range(int(band.max(initial=0))):
+        go = (band <= k) | (bands[i, k] != bands[j, k])
+        if not go.all():
+            i, j, band = i[go], j[go], band[go]
     matches = np.zeros(len(i), np.int64)
     for look, least in enumerate(least_matches()):
         if not len(i):
             break
         part = slice(look * LOOK, (look + 1) * LOOK)
-        a, b = sig_a[:, part], sig_b[:, part]
+        a, b = sig[:, part], sig[:, part]
         matches = matches + np.concatenate([(a[i[k : k + 65536]] == b[j[k : k + 65536]]).sum(axis=1) for k in range(0, len(i), 65536)])
         go = matches >= least
         i, j, matches = i[go], j[go], matches[go]
+    return i, j
+
+
+def _pairs(start: np.ndarray, block: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs within the groups that start at `start`: of a block with itself each once, of two blocks each of one with each of the other."""
+    i, j, held = [], [], 0
+    ends = [*start[1:].tolist(), len(block)]
+    for s, e in zip(start.tolist(), ends, strict=True):
+        same = lo[s] == hi[s]
+        a, b = (np.arange(s, e),) * 2 if same else (s + np.flatnonzero(block[s:e] == lo[s]), s + np.flatnonzero(block[s:e] == hi[s]))
+        step = max(1, PASS_PAIRS // max(1, len(b)))
+        for k in range(0, len(a), step):
+            x, y = np.repeat(a[k : k + step], len(b)), np.tile(b, len(a[k : k + step]))
+            if same:
+                x, y = x[x < y], y[x < y]
+            i.append(x)
+            j.append(y)
+            held += len(x)
+            if held >= PASS_PAIRS:
+                yield np.concatenate(i), np.concatenate(j)
+                i, j, held = [], [], 0
+    if held:
+        yield np.concatenate(i), np.concatenate(j)
+
+
+def verified(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which of the pairs (i, j) of shingle sets reach the threshold, counted exactly."""
     if not len(i):
-        return i, j
-    need = lambda i, j: THRESHOLD * (size_a[i] + size_b[j]) / (1 + THRESHOLD) - 1e-9  # noqa: E731  common shingles of a link
-    if len(i) > 4 * (len(size_a) + len(size_b)):
+        return np.zeros(0, bool)
+    size = np.array([len(s) for s in sets], np.float64)
+    need = THRESHOLD * (size[i] + size[j]) / (1 + THRESHOLD) - 1e-9  # common shingles of a link
+    rows_a, rows_b = np.unique(i), np.unique(j)
+    if len(i) > 4 * (len(rows_a) + len(rows_b)):
         # Many pairs of the same texts: count common shingles by products of 0/1 matrices, some shingles at a time.
-        rows_a, rows_b = np.unique(i), np.unique(j)
-        vocabulary = np.unique(np.concatenate([*(sets_a[k] for k in rows_a), *(sets_b[k] for k in rows_b)]))
-        common = np.zeros((len(size_a), len(size_b)), np.float32)
-        place_a, place_b = ([np.searchsorted(vocabulary, x[k]) for k in rows] for x, rows in ((sets_a, rows_a), (sets_b, rows_b)))
-        for lo in range(0, len(vocabulary), 8192):
+        vocabulary = np.unique(np.concatenate([sets[k] for k in np.union1d(rows_a, rows_b)]))
+        common = np.zeros((len(rows_a), len(rows_b)), np.float32)
+        place_a, place_b = ([np.searchsorted(vocabulary, sets[k]) for k in rows] for rows in (rows_a, rows_b))
+        for lo in range(0, len(vocabulary), 4096):
+
             def dense(places):
-                out = np.zeros((len(places), min(8192, len(vocabulary) - lo)), np.float32)
+                out = np.zeros((len(places), min(4096, len(vocabulary) - lo)), np.float32)
                 for r, p in enumerate(places):
-                    out[r, p[np.searchsorted(p, lo) : np.searchsorted(p, lo + 8192)] - lo] = 1
+                    out[r, p[np.searchsorted(p, lo) : np.searchsorted(p, lo + 4096)] - lo] = 1
                 return out
-            common[np.ix_(rows_a, rows_b)] += dense(place_a) @ dense(place_b).T
-        both = common[i, j]
+
+            common += dense(place_a) @ dense(place_b).T
+        both = common[np.searchsorted(rows_a, i), np.searchsorted(rows_b, j)]
     else:
-        both = np.array([len(np.intersect1d(sets_a[x], sets_b[y], assume_unique=True)) for x, y in zip(i, j, strict=True)])
-    go = both >= need(i, j)
-    return i[go], j[go]
+        both = np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(i.tolist(), j.tolist(), strict=True)])
+    return both >= need
 
 
-def _forest(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
-    """Links that join all that the given links join, fewer than n."""
-    parent, out = list(range(n)), []
+def _chains(i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join all that the given links join, in chains: fewer than rows, and two at most at a row."""
+    parent: dict[int, int] = {}
 
     def root(x):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
+        while (p := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent.setdefault(p, p)
         return x
 
     for x, y in zip(i.tolist(), j.tolist(), strict=True):
-        a, b = root(x), root(y)
-        if a != b:
-            parent[b] = a
-            out.append((x, y))
+        parent[root(y)] = root(x)
+    last: dict[int, int] = {}
+    out = []
+    for x in sorted(parent):
+        r = root(x)
+        if r in last:
+            out.append((last[r], x))
+        last[r] = x
     return out
 
 
-def _compare(frame: pd.DataFrame) -> pd.DataFrame:
-    """Links within a task's texts: a row (a, b, n) for each text a with links, n of them counting copies, and rows (a, b, 0) that join them."""
-    buf, at = text_bytes(pa.array(frame["text"], pa.string()))
-    value, cut = shingles(buf, at)
-    # Where an id is repeated with different texts, only the one with the expected shingles is meant.
-    keys = np.array(_set_keys(value, cut), object)
-    frame = frame.assign(at=np.arange(len(frame)))[keys == frame["set"].to_numpy()].drop_duplicates("node").sort_values(["block", "node"], kind="stable")
-    sets = [value[cut[k] : cut[k + 1]] for k in frame["at"]]
-    value, cut = np.concatenate([*sets, np.zeros(0, np.uint64)]), np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int64)
-    sig = minhashes(value, cut)
-    lo, hi = int(frame["lo"].iloc[0]), int(frame["hi"].iloc[0])
-    block = frame["block"].to_numpy()
-    a, b = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-    i, j = _links(sig[a], [sets[k] for k in a], sig[b], [sets[k] for k in b], lo == hi)
-    i, j = a[i], b[j]
-    rows = frame["rows"].to_numpy()
-    n = np.bincount(i, weights=rows[j], minlength=len(frame)) + np.bincount(j, weights=rows[i], minlength=len(frame))
-    rep = frame["node"].to_numpy()
-    linked = np.flatnonzero(n)
-    pairs = _forest(len(frame), i, j)
-    return pd.DataFrame({"a": np.concatenate([rep[linked], rep[[x for x, _ in pairs]]]).astype(np.int64), "b": np.concatenate([rep[linked], rep[[y for _, y in pairs]]]).astype(np.int64), "n": np.concatenate([n[linked], np.zeros(len(pairs))]).astype(np.int64)})
+_GROUP = ["bucket", "lo", "hi"]
+
+
+def _group_pass(t: pa.Table):
+    """Of a pass of whole groups: nodes, signatures, sizes, and the surviving pairs in index order."""
+    col = lambda c: t.column(c).to_numpy()
+    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(t.num_rows, HASHES)
+    bucket, lo, hi, block = col("bucket"), col("lo"), col("hi"), col("block")
+    start = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
+    bands, band, size = _bands(sig), bucket >> 57, col("shingles").astype(np.float64)
+    found = [prune(sig, bands, size, i, j, band[i]) for i, j in _pairs(start, block, lo, hi)]
+    i, j = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+    return start, i, j
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows (bucket, lo, hi, block, node) that have a pair in their group that the posterior lets go on."""
+    for t in whole_groups(batches, _GROUP):
+        _, i, j = _group_pass(t)
+        rows = np.union1d(i, j)
+        if len(rows):
+            yield from t.select([*_GROUP, "block", "node"]).take(pa.array(rows)).combine_chunks().to_batches()
+
+
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Verified links: a row (a, a, n) for each text a with links in its group, n of them counting copies, and rows (a, b, 0) that join them."""
+    for t in whole_groups(batches, _GROUP):
+        start, i, j = _group_pass(t)
+        if not len(i):
+            continue
+        node, rows = t.column("node").to_numpy(), t.column("rows").to_numpy()
+        buf, at = text_bytes(t.column("text").combine_chunks())
+        value, cut = shingles(buf, at)
+        sets = [value[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)]
+        group = np.searchsorted(start, i, "right")
+        order = np.argsort(group, kind="stable")
+        i, j, group = i[order], j[order], group[order]
+        edge = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]).tolist()
+        go = np.concatenate([verified(sets, i[x:y], j[x:y]) for x, y in zip(edge, [*edge[1:], len(i)], strict=True)])
+        i, j = i[go], j[go]
+        n = np.bincount(i, weights=rows[j], minlength=len(node)) + np.bincount(j, weights=rows[i], minlength=len(node))
+        linked = np.flatnonzero(n)
+        pairs = np.array(_chains(i, j), np.int64).reshape(-1, 2)
+        a, b = np.concatenate([node[linked], node[pairs[:, 0]]]), np.concatenate([node[linked], node[pairs[:, 1]]])
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.concatenate([n[linked], np.zeros(len(pairs))]).astype(np.int64))], names=["a", "b", "n"])
+
+
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, bytes, bucket): a row for each band of each signature."""
+    for b in batches:
+        for k in range(0, b.num_rows, 2000):
+            part = b.slice(k, 2000)
+            bands = _bands(np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint16).reshape(part.num_rows, HASHES))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(c).to_numpy(), BANDS)) for c in (0, 1)] + [pa.array(bands.reshape(-1))], names=["node", "bytes", "bucket"])
+
+
+def _in_groups(rows: DataFrame, fn: Callable, schema: str) -> DataFrame:
+    return rows.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(fn, schema)
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """For every row: id, __text, class_id, n_links, and __first: (id, __text) of the class's first row.
+    """For every row: id, h1, h2, class_id, n_links, and first: (id, h1, h2) of the class's first row.
 
-    A text (rows of one shingle set) is a node, numbered by its set's key.
+    A text (rows of one shingle set) is a node, numbered when the texts are written.
     """
     rows = checkpointed(signatures(docs, id_col, text_col))
-    node = F.conv(F.substring(F.hex("__set"), 1, 15), 16, 10).cast("bigint")
-    texts = rows.groupBy("__set").agg(F.min(F.struct(_order_id(id_col).alias("id"), F.col("__text").alias("text"))).alias("first"), F.count("*").alias("rows"), F.first("__bands").alias("__bands"))
-    texts = checkpointed(texts.withColumn("node", node))
-    band = texts.select("node", F.explode("__bands").alias("band"))
-    stars = band.groupBy("band").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").select("band", "a")
-    parts = components(band.join(stars, "band").select("a", F.col("node").alias("b")))
-    parts = parts.join(texts.select("node", "rows", "__set", F.col("first.id").alias("id")), "node")
-    parts = checkpointed(parts)
-    sizes = parts.groupBy("root").agg(F.count("*").alias("texts")).withColumn("blocks", F.ceil(F.col("texts") / BLOCK).cast("int"))
-    placed = parts.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("bigint")).cast("int"))
-    sources = docs.select(_order_id(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    dealt = sources.join(placed, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("node", F.col("__set").alias("set"), "text", "rows", "root", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    found = checkpointed(dealt.groupBy("root", "lo", "hi").applyInPandas(_compare, "a bigint, b bigint, n bigint"))
-    links = found.where("n > 0").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("__links"))
+    first = F.min(F.struct(_order_id(F.col("id")).alias("id"), "h1", "h2")).alias("first")
+    texts = rows.groupBy("set").agg(first, F.count("*").alias("rows"), F.first("sig").alias("sig"), F.first("shingles").alias("shingles"), F.max("bytes").alias("bytes"))
+    texts = checkpointed(texts.withColumn("node", F.monotonically_increasing_id()))
+    # Buckets of texts that share a band; of buckets with the same texts the first.
+    band = texts.where("shingles > 0").select("node", "bytes", "sig").mapInArrow(_exploded, "node bigint, bytes bigint, bucket bigint")
+    mark = lambda k: F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"x{k}")
+    buckets = band.groupBy("bucket").agg(F.count("*").alias("n"), mark(0), mark(1), F.sum("bytes").alias("bytes")).where("n > 1")
+    buckets = buckets.groupBy("n", "x0", "x1").agg(F.min("bucket").alias("bucket"), F.max("bytes").alias("bytes"))
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.least(F.col("bytes") / BLOCK_BYTES, F.col("n") / 2))).cast("int")
+    members = band.select("bucket", "node").join(buckets.select("bucket", blocks.alias("blocks")), "bucket")
+    members = checkpointed(members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("bigint")).cast("int")))
+    pairs_of = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    dealt = members.join(texts.select("node", "sig", "shingles"), "node").select("bucket", "block", "node", "sig", "shingles", pairs_of)
+    dealt = dealt.select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "sig", "shingles")
+    alive = checkpointed(_in_groups(dealt, _candidates, "bucket bigint, lo int, hi int, block int, node bigint"))
+    # Texts of what is still alive, one for each node, whichever rows hold it.
+    needed = texts.join(alive.select("node").distinct(), "node").select("node", "rows", "sig", "shingles", "first.id", "first.h1", "first.h2")
+    sources = docs.select(_order_id(F.col(id_col)).alias("id"), *_text_hashes(F.col(text_col)), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    whole = checkpointed(sources.join(needed, ["id", "h1", "h2"]).groupBy("node").agg(*(F.first(c).alias(c) for c in ("rows", "sig", "shingles", "text"))))
+    found = checkpointed(_in_groups(alive.join(whole, "node").select(*_GROUP, "block", "node", "rows", "sig", "shingles", "text"), _links, "a bigint, b bigint, n bigint"))
+    links = found.where("n > 0").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
     joined = components(found.where("n = 0"))
-    known = checkpointed(texts.select("__set", "node", "rows", "first").join(links, "node", "left").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    firsts = known.groupBy("root").agg(F.min("first").alias("__first"))
-    known = known.join(firsts, "root").select("__set", F.col("__first.id").alias("class_id"), (F.coalesce("__links", F.lit(0)) + F.col("rows") - 1).alias("n_links"), "__first")
-    return rows.select(id_col, "__text", "__set").join(known, "__set").drop("__set")
+    known = texts.select("set", "node", "rows", "first").join(links, "node", "left").join(joined, "node", "left")
+    known = checkpointed(known.withColumn("root", F.coalesce("root", "node")))
+    firsts = known.groupBy("root").agg(F.min("first").alias("class_first"))
+    known = known.join(firsts, "root").select("set", F.col("class_first.id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("rows") - 1).alias("n_links"), F.col("class_first").alias("first"))
+    return rows.select("id", "h1", "h2", "set").join(known, "set").drop("set")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -274,22 +360,26 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     A link is a pair of rows whose sets of five-word shingles have a Jaccard similarity of THRESHOLD or
     more.  n_links is the row's number of them, copies included.  class_id is the smallest id among the
     rows that links join to it.  Rows without words (null, empty) are copies of one another and linked to
-    no other; a null id takes part like any other, as the largest number.
+    no other; a null id takes part like any other, as the largest number; repeated rows are copies.  Very
+    long texts are read whole.  An empty table gives an empty result.
 
     Rows of equal sets are one text from the start.  Texts that share a band of MinHash values are
-    candidates; the candidates' connected parts (kept as stars, never as all pairs) are dealt in blocks,
-    and each two blocks of a part meet in a task that drops pairs by the posterior, a look at a time, and
-    verifies the rest exactly.  Tasks return counts and spanning links only, not pairs.
+    candidates, once, at the first band that they share: a bucket of a band is dealt in blocks of signatures,
+    and each two blocks meet in a group that drops pairs by the posterior, a look at a time.  Only texts that
+    have a pair left are sent to where the pairs are verified exactly.  Groups return counts and chains of
+    links, not pairs.
     """
-    return _classes(docs, id_col, text_col).select(id_col, "class_id", "n_links")
+    return _classes(docs, id_col, text_col).select(F.col("id").alias(id_col), "class_id", "n_links")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with one row of each class: the one of the smallest id (of repeated rows, one)."""
-    keep = _classes(docs.select(id_col, text_col), id_col, text_col).select(F.col("__first.id").alias("__k"), F.col("__first.text").alias("__h")).dropDuplicates()
-    keyed = docs.withColumns({"__id": _order_id(id_col), "__hash": _text_hash(text_col)})
-    kept = keyed.join(keep, (F.col("__id") == F.col("__k")) & (F.col("__hash") == F.col("__h")))
-    return kept.dropDuplicates(["__id", "__hash"]).select(*docs.columns)
+    """`docs` with one row of each class: the one of the smallest id (of repeated rows, one). Other columns may have any names."""
+    rows, back = apart(docs)
+    id_, text = back[id_col], back[text_col]
+    keep = _classes(rows.select(id_, text), id_, text).select("first.*").dropDuplicates()
+    keyed = rows.withColumn("id", _order_id(F.col(id_))).withColumns(dict(zip(("h1", "h2"), _text_hashes(F.col(text)), strict=True)))
+    kept = keyed.join(keep, ["id", "h1", "h2"]).dropDuplicates(["id", "h1", "h2"])
+    return kept.select(*(F.col(v).alias(c) for c, v in back.items()))
 
 
 def op7_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -328,7 +328,7 @@ def plain_classes(rows):
     return Counter((rows[i][0], least[find(i)], links[i]) for i in range(n))
 
 
-@pytest.mark.parametrize("block", [256, 4])
+@pytest.mark.parametrize("block", [2048, 4])
 def test_near_copies(spark, docs, empty, monkeypatch, block):
     monkeypatch.setattr(near_copies, "BLOCK", block)
     group = []
@@ -358,9 +358,75 @@ def test_links_by_products_and_by_pairs_agree():
     sets = [np.unique(np.concatenate([pool[: r.randint(250, 400)], r.randint(0, 2**62, 10, dtype=np.int64).astype(np.uint64)])) for _ in range(60)]
     at = np.cumsum([0, *map(len, sets)])
     sig = near_copies.minhashes(np.concatenate(sets), at)
-    i, j = near_copies._links(sig, sets, sig, sets, True)
     jac = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b))
-    assert set(zip(i, j, strict=True)) == {(x, y) for x in range(60) for y in range(x + 1, 60) if jac(sets[x], sets[y]) >= 0.8}
+    i, j = np.triu_indices(60, 1)
+    truth = np.array([jac(sets[x], sets[y]) >= 0.8 for x, y in zip(i, j, strict=True)])
+    assert 0 < truth.sum() < len(truth) and (near_copies.verified(sets, i, j) == truth).all()
+    assert [near_copies.verified(sets, i[k : k + 1], j[k : k + 1])[0] for k in range(0, len(i), 20)] == truth[::20].tolist()
+    # Every pair goes on at its first common band and at no other.
+    bands, size = near_copies._bands(sig), np.array(list(map(len, sets)), float)
+    met = Counter()
+    for k in range(near_copies.BANDS):
+        met.update(zip(*near_copies.prune(sig, bands, size, i, j, np.full(len(i), k)), strict=True))
+    assert set(met.values()) == {1} and set(met) >= {p for p, t in zip(zip(i, j, strict=True), truth, strict=True) if t}
+
+
+def test_chains_join_what_links_join():
+    links = [(1, 9), (9, 4), (2, 3), (4, 1), (7, 3), (3, 2)]
+    got = near_copies._chains(np.array([a for a, _ in links]), np.array([b for _, b in links]))
+    assert sorted(got) == [(1, 4), (2, 3), (3, 7), (4, 9)]
+
+
+@pytest.mark.parametrize("some", [["two words"], ["a", "b c"], ["", "a b", None], ["a b c d e", "a b c d"], []])
+def test_near_copies_of_few_words(spark, some):
+    rows = list(enumerate(some))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert whole(near_copies.near_copies(df)) == plain_classes([(i, t or "") for i, t in rows])
+    assert near_copies.drop_near_copies(df).count() == len({t or "" for t in some})
+
+
+def test_short_texts_between_long_ones(spark, monkeypatch):
+    from lattica.llm import common
+
+    monkeypatch.setattr(common, "PASS_BYTES", 64)
+    assert [(i, j) for i, j in common.passes(np.array([0, 3, 200, 203, 400]), 64)] == [(0, 1), (1, 2), (2, 3), (3, 4)]
+    value, at = near_copies.shingles(np.frombuffer(b"a b", np.uint8), np.array([0, 3]))
+    assert len(value) == 1 and at.tolist() == [0, 1]
+
+
+def test_near_copies_with_null_ids(spark):
+    base = prose("aa", 120).split()
+    rows = []
+    for _ in range(60):
+        w = list(base)
+        w[rng.randrange(len(w))] = f"v{rng.random()}"
+        rows.append((None, " ".join(w)))
+    rows += rows[:20]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert whole(near_copies.near_copies(df)) == plain_classes(rows)
+    assert near_copies.drop_near_copies(df).count() == 1
+
+
+def test_recall_over_ten_thousand_texts(spark):
+    """Near copies of all degrees against an exact count by an index of shingles."""
+    r = random.Random(11)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(5000)]
+    rows = []
+    while len(rows) < 10_000:
+        base = [r.choice(words) for _ in range(r.randint(20, 120))]
+        for _ in range(r.choice([1, 1, 2, 4])):
+            w = list(base)
+            for _ in range(r.randint(0, 3)):
+                w[r.randrange(len(w))] = r.choice(words)
+            rows.append((len(rows), " ".join(w)))
+    sets, holders = [shingle_set(t) for _, t in rows], defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s:
+            holders[x].append(i)
+    common = Counter((a, b) for h in holders.values() for k, a in enumerate(h) for b in h[k + 1 :])
+    links = Counter(x for (a, b), n in common.items() if n >= 0.8 * len(sets[a] | sets[b]) - 1e-12 for x in (a, b))
+    got = {r["doc_id"]: r["n_links"] for r in near_copies.near_copies(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert sum(links.values()) > 3000 and got == {i: links[i] for i in range(len(rows))}
 
 
 def test_fingerprints(spark, docs, empty):
