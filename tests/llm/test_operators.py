@@ -254,7 +254,81 @@ def test_pii_terms_in_the_whole_text(spark):
     told = [f"{prose('aa', 8)} hotline jo@ex.org {prose('aa', 8)}" for _ in range(4)]
     far = f"Hotline {prose('aa', 60)} jo@ex.org {prose('aa', 60)} HOTLINE hotlines"
     got = pii_found(spark, [*told, far, *(prose("aa", 30) for _ in range(60))])
-    assert [s for s in got[4] if s[1].lower().startswith("hot")] == [("term", "Hotline"), ("term", "HOTLINE")]
+    assert [s for s in got[4] if s[1].lower().startswith("hot")] == [("removed", "Hotline"), ("removed", "HOTLINE")]
+
+
+def plain_pii(texts):
+    """Spans of each text by the definition: base spans, then the revealing terms'."""
+    term = re.compile(r"[^\W\d_]{2,}")
+    base = [[(k, m.start(), m.end(), m[0]) for k, p in PATTERNS.items() for m in re.finditer(p, t) if valid(k, m[0])] for t in texts]
+
+    def entities(spans):
+        for k, _, _, s in spans:
+            d = re.sub("[^0-9]", "", s)
+            group = {"email": s.rsplit("@", 1)[-1].lower(), "ip": ".".join(s.split(".")[:2]), "card": d[:6], "phone": d[:4]}[k]
+            yield from (("value", s), ("group", k, group), ("kind", k))
+
+    of = {t: (set(entities(b)), {m[0].lower() for m in term.finditer(t)}) for t, b in zip(texts, base, strict=True)}
+    n, n_e, n_t, n_te = len(of), Counter(), Counter(), Counter()
+    for e, w in of.values():
+        n_e.update(e)
+        n_t.update(w)
+        n_te.update((x, y) for x in e for y in w)
+    shares = {(e, w): math.log2(n * c / (n_t[w] * n_e[e])) / max(1e-9, math.log2(n / n_e[e])) for (e, w), c in n_te.items() if c >= 2}
+    out = []
+    for t, b in zip(texts, base, strict=True):
+        kind = {}
+        for e in of[t][0]:
+            for w in of[t][1]:
+                if shares.get((e, w), 0) >= 0.8:
+                    kind[w] = min(kind.get(w, "term"), "removed" if shares[e, w] >= 0.95 else "term")
+        free = [m for m in term.finditer(t) if m[0].lower() in kind and not any(y < m.end() and m.start() < z for _, y, z, _ in b)]
+        out.append([(k, y, z) for k, y, z, _ in b] + sorted((kind[m[0].lower()], m.start(), m.end()) for m in free))
+    return out
+
+
+def test_pii_equals_a_plain_version(spark):
+    r = random.Random(3)
+    contact = ["jo@ex.org", "al@ex.org", "10.0.0.7", "10.0.9.9", "+1 (555) 010-9999", "4111 1111 1111 1111", "my line", "nothing"]
+    texts = [f"{prose('aa', r.randint(1, 12))} {r.choice(['Desk', 'agent', 'of', 'été'])} {r.choice(contact)} {prose('bb', r.randint(1, 6))} {r.choice(contact)}" for _ in range(150)]
+    texts += [f"{prose('cc', 9)} plain" for _ in range(150)] + texts[:5] + ["", "x@y.z " * 300 + "deskline"] + ["4111 1111 1111 1111 10.0.0.7@a.b"] * 2
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    got = {r["doc_id"]: [tuple(x) for x in r["pii_spans"]] for r in pii.find_pii(df).collect()}
+    want = plain_pii(texts)
+    assert [got[k] for k in range(len(texts))] == want
+    assert sum(k[0] in ("term", "removed") for w in want for k in w) > 20
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
+    for k, (t, spans) in enumerate(zip(texts, want, strict=True)):
+        text, at = "", 0
+        for start, last, kind in sorted((y, -z, x) for x, y, z in spans):
+            if start >= at:
+                text += t[at:start] + ("" if kind == "removed" else f"[{kind}]")
+            at = max(at, -last)
+        assert clean[k] == text + t[at:]
+
+
+def test_pii_digests(spark, tmp_path):
+    texts = [f"mail jo{k}@ex.org or 10.0.0.{k} {prose('aa', 5)}" for k in range(300)] + ["", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for r in pii.op5_pii(spark, str(tmp_path)).collect():
+        t = texts[r["doc_id"]] or ""
+        base = [(k, m.start(), m.end()) for k, p in PATTERNS.items() for m in re.finditer(p, t) if valid(k, m[0])]
+        listed = ",".join(f"{k}:{y}:{z}" for k, y, z in base)
+        assert r["base_sha256"] == hashlib.sha256(listed.encode()).hexdigest() and r["spans"].startswith(listed)
+        assert [r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]] == [sum(b[0] == k for b in base) for k in PATTERNS]
+
+
+def test_located_is_near_linear(spark):
+    import time
+
+    took = []
+    for n in (20_000, 40_000):
+        df = spark.createDataFrame([(" ".join(f"u{i}@ex{i}.org" for i in range(n)),)], "text string").cache()
+        df.count()
+        start = time.time()
+        assert len(df.select(pii.located(F.col("text"), PATTERNS["email"].replace("(", "(?:")).alias("s")).first()["s"]) == n
+        took.append(time.time() - start)
+    assert took[1] < 8
 
 
 def test_mixing(docs, empty):
