@@ -5,17 +5,19 @@ from __future__ import annotations
 import json
 import random
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lattica.llm.common import lowest_hashes, table
+from lattica.llm.common import apart, table
 
 #: Bins (a power of two), stored bits of each bin, words of a shingle.
 BIN_BITS, BITS, SHINGLE = 7, 8, 5
 BINS = 1 << BIN_BITS
-#: Text bytes of a range of documents, ranges at most, and sampled ids for each range's bound.
-RANGE_BYTES, MAX_RANGES, RANGE_SAMPLE = 16 << 20, 50_000, 20
+#: Text bytes of a range of documents, ranges at most (which bounds what is broadcast; a larger range is sorted and read
+#: by spilling), and sampled rows for each range's bound.
+RANGE_BYTES, MAX_RANGES, RANGE_SAMPLE = 16 << 20, 50_000, 40
 #: Donors tried one by one before all the rest are looked at together.
 FIRST_DONORS = 6
 
@@ -72,60 +74,69 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """`docs` with `fingerprint`: the packed bits of each whole text. A column of that name is replaced."""
+    """`docs` with `fingerprint`: the packed bits of each whole text. A column of that name is replaced.
+
+    A null or empty text, or one without a word, has the empty fingerprint; equal texts have equal ones.
+    """
     return docs.withColumn("fingerprint", packed(fingerprint_bins(F.col(text_col).cast("string"))))
 
 
-def _ranges(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, int]:
-    """The number of a row's id range, and how many there are; bounds are quantiles of a bounded sample of the ids.
+def _ranges(rows: DataFrame) -> Column:
+    """The number of a row's range in the order of (place, tie); the bounds come from a sample of at most RANGE_SAMPLE rows a range.
 
-    Any bounds give the same result.  Two levels of bounds keep the search short.
+    Any bounds give the same result.  Bounds hold both numbers, so that rows without an id, or with the same
+    one, are dealt to many ranges too.  Two levels of bounds keep the search short.
     """
-    bounds = []
-    total, rows = docs.agg(F.sum(F.octet_length(F.coalesce(F.col(text_col), F.lit("")))), F.count("*")).first()
+    total, count = rows.agg(F.sum("bytes"), F.count("*")).first()
     n = max(1, min(MAX_RANGES, -(-(total or 0) // RANGE_BYTES)))
+    bounds: list[tuple[int, int]] = []
     if n > 1:
-        found = lowest_hashes(docs.select(id_col), id_col, RANGE_SAMPLE * n, rows).agg(F.percentile_approx(id_col, [i / n for i in range(1, n)], 20 * n)).first()[0] or []
-        bounds = sorted(set(found))
+        share = 2 * (RANGE_SAMPLE * n + 50) / count
+        some = rows if share >= 1 else rows.where(F.xxhash64("place", "tie") <= int(-(2**63) + share * 2**64))
+        found = some.select("place", "tie", "bytes").limit(RANGE_SAMPLE * n * 4).toPandas().sort_values(["place", "tie"])
+        size = found["bytes"].to_numpy(np.int64).cumsum()
+        cuts = np.searchsorted(size, size[-1] * np.arange(1, n) // n) if len(size) else []
+        bounds = sorted({(int(found["place"].iloc[k]), int(found["tie"].iloc[k])) for k in cuts})
     group = max(1, int(len(bounds) ** 0.5))
-    groups = [bounds[i : i + group] for i in range(0, len(bounds), group)] or [[]]
-    id_ = F.col(id_col).cast("bigint")
-    tops = F.from_json(F.lit(json.dumps([g[-1] for g in groups if g])), "array<bigint>")
-    coarse = F.size(F.filter(tops, lambda b: b < id_))
-    fine = lambda c: F.coalesce(F.size(F.filter(F.get(F.from_json(F.lit(json.dumps(groups)), "array<array<bigint>>"), c), lambda b: b < id_)), F.lit(0))
-    # Ids without a value come last.
-    return F.when(id_.isNull(), F.lit(len(bounds) + 1)).otherwise(_let(coarse, lambda c: c * group + F.greatest(fine(c), F.lit(0)))).cast("int"), len(bounds) + 2
+    groups = [[{"p": p, "t": t} for p, t in bounds[i : i + group]] for i in range(0, len(bounds), group)]
+    kind = "struct<p:bigint,t:bigint>"
+    tops = F.from_json(F.lit(json.dumps([g[-1] for g in groups])), f"array<{kind}>")
+    all_ = F.from_json(F.lit(json.dumps(groups)), f"array<array<{kind}>>")
+    below = lambda a: F.size(F.filter(a, lambda b: b < F.struct(F.col("place").alias("p"), F.col("tie").alias("t"))))
+    fine = lambda c: F.when(F.get(all_, c).isNull(), 0).otherwise(below(F.get(all_, c)))
+    return _let(below(tops), lambda c: c * group + fine(c)).cast("int")
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For every row: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text has the last quarter of its characters replaced by the first ones of the next row's
-    text, in ascending order of the integer id (nulls last; equal ids in the order of their texts; after
-    the last comes the first).  Null texts are empty.  Rows are dealt by id range once, with their texts;
-    the first text of each range is sent to the range before it.
+    text, in ascending order of the integer id (nulls last; equal ids in the order of their texts' hashes;
+    after the last comes the first, which in a table of one row is that row).  Null texts are empty; very long
+    texts are read whole; an empty table gives an empty result; other columns may have any names.  Rows are
+    dealt by ranges of that order once, with their texts; the first text of each range is sent to the range
+    before it.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    bucket, _ = _ranges(docs, id_col, text_col)
-    rows = docs.select(F.col(id_col).alias("__id"), text.alias("__text"), bucket.alias("__range")).withColumn("__tie", F.xxhash64("__text"))
-    heads = sorted((r[0], r[1]) for r in rows.groupBy("__range").agg(F.min("__id")).collect())
-    follows = [{"r": r, "id": heads[(i + 1) % len(heads)][1], "next": heads[(i + 1) % len(heads)][0]} for i, (r, _) in enumerate(heads)]
-    follow = docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(follows)), "array<struct<r:int,id:bigint,next:int>>")))
-    # At most one row for each range and, where an id is repeated, the first of its texts.
-    first = rows.join(F.broadcast(follow), rows["__id"].eqNullSafe(follow["id"]) & (rows["__range"] == follow["next"])).groupBy("r").agg(F.min(F.struct("__tie", "__text")).alias("__first"))
-    first = first.select(F.col("r").alias("__before"), F.col("__first.__text").alias("__head"))
-
-    w = W.partitionBy("__range").orderBy(F.col("__id").asc_nulls_last(), "__tie", "n_chars")
-    rows = rows.withColumn("n_chars", F.length("__text").cast("bigint"))
-    rows = rows.withColumn("__next", F.lead("__text").over(w))
-    rows = rows.join(first, rows["__range"] == first["__before"], "left")
+    docs, back = apart(docs.select(id_col, text_col))
+    text = F.coalesce(F.col(back[text_col]).cast("string"), F.lit(""))
+    place = F.coalesce(F.col(back[id_col]).cast("bigint"), F.lit(2**63 - 1))
+    rows = docs.select(F.col(back[id_col]).alias("id"), place.alias("place"), text.alias("text")).withColumns({"tie": F.xxhash64("text"), "bytes": F.octet_length("text").cast("bigint")})
+    rows = rows.withColumn("range", _ranges(rows)).drop("bytes")
+    heads = sorted((r["range"], r["first"]) for r in rows.groupBy("range").agg(F.min(F.struct("place", "tie")).alias("first")).collect())
+    follows = [{"r": r, "next": heads[(i + 1) % len(heads)][0], "p": heads[(i + 1) % len(heads)][1][0], "t": heads[(i + 1) % len(heads)][1][1]} for i, (r, _) in enumerate(heads)]
+    follow = docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(follows)), "array<struct<r:int,next:int,p:bigint,t:bigint>>")))
+    # A row for each range; where the first row is repeated, its copies are one.
+    first = rows.join(F.broadcast(follow), (rows["range"] == follow["next"]) & (rows["place"] == follow["p"]) & (rows["tie"] == follow["t"])).groupBy("r").agg(F.first("text").alias("head"))
+
+    w = W.partitionBy("range").orderBy("place", "tie")
+    rows = rows.withColumn("n_chars", F.length("text").cast("bigint")).withColumn("next", F.lead("text").over(w))
+    rows = rows.join(first, rows["range"] == first["r"], "left")
     quarter = F.floor(F.col("n_chars") / 4).cast("int")
-    following = F.coalesce("__next", "__head")
-    edited = F.concat(F.substring("__text", F.lit(1), F.col("n_chars").cast("int") - quarter), F.substring(following, F.lit(1), quarter))
-    rows = rows.withColumn("__edited", edited).withColumn("__head", F.when(F.col("__next").isNull(), F.col("__head")))
-    rows = rows.select("__id", "__tie", "__range", "n_chars", F.sha2("__edited", 256).alias("edited_sha256"), fingerprint_bins(F.col("__text")).alias("__bins"), fingerprint_bins(F.col("__edited")).alias("__edited_bins"), F.when(F.col("__head").isNotNull(), fingerprint_bins(F.col("__head"))).alias("__head_bins"))
-    rows = rows.withColumn("__next_bins", F.coalesce(F.lead("__bins").over(w), "__head_bins"))
-    return rows.select(F.col("__id").alias(id_col), "n_chars", "edited_sha256", packed(F.col("__bins")).alias("fingerprint"), packed(F.col("__edited_bins")).alias("edited_fingerprint"), likeness(F.col("__bins"), F.col("__edited_bins")).alias("near_edited"), likeness(F.col("__bins"), F.col("__next_bins")).alias("near_next"))
+    edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - quarter), F.substring(F.coalesce("next", "head"), F.lit(1), quarter))
+    rows = rows.withColumn("edited", edited).withColumn("head", F.when(F.col("next").isNull(), F.col("head")))
+    rows = rows.select("id", "place", "tie", "range", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint_bins(F.col("text")).alias("bins"), fingerprint_bins(F.col("edited")).alias("edited_bins"), F.when(F.col("head").isNotNull(), fingerprint_bins(F.col("head"))).alias("head_bins"))
+    rows = rows.withColumn("next_bins", F.coalesce(F.lead("bins").over(w), "head_bins"))
+    return rows.select(F.col("id").alias(id_col), "n_chars", "edited_sha256", packed(F.col("bins")).alias("fingerprint"), packed(F.col("edited_bins")).alias("edited_fingerprint"), likeness(F.col("bins"), F.col("edited_bins")).alias("near_edited"), likeness(F.col("bins"), F.col("next_bins")).alias("near_next"))
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
