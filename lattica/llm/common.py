@@ -60,15 +60,20 @@ def remainder(col: str, n: int) -> Column:
     return F.coalesce(F.crc32(F.col(col).cast("string")) % n, F.lit(0))
 
 
-def lowest_hashes(df: DataFrame, id_col: str, rows: int, of: int) -> DataFrame:
-    """Of `of` rows, those whose ids' hashes are in the lowest share that holds about twice `rows`.
+def lowest_hashes(df: DataFrame, id_col: str, rows: int) -> DataFrame:
+    """The `rows` rows of the lowest hashes of their ids (all, if there are fewer), as a table to collect.
 
-    What is sorted to find the lowest `rows` of them is then bounded as well.
+    Only a share of the rows that holds about twice as many is sorted; should it hold too few, all are.
+    The share is of the rows of `df`, so apply every filter and join before.
     """
+    h = F.xxhash64(F.col(id_col).cast("string"))
+    of = df.count()
     share = 2 * (rows + 50) / max(1, of)
-    if share >= 1:
-        return df
-    return df.where(F.xxhash64(F.col(id_col).cast("string")) <= F.lit(int(-(2**63) + share * 2**64)))
+    if share < 1:
+        some = df.where(h <= F.lit(int(-(2**63) + share * 2**64)))
+        if some.count() >= rows:
+            df = some
+    return df.orderBy(h, *(c for c in df.columns if c != id_col)).limit(rows)
 
 
 def apart(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:

@@ -8,14 +8,18 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lattica.llm.common import lowest_hashes, map_texts, remainder, table
+from lattica.llm.common import apart, map_texts, remainder, table
 
 #: Hashed features, words of each language's lexicon, and entries of a worker's table of words.
 FEATURES, LEXICON, TABLE_SIZE = 1 << 17, 300, 500_000
-#: Rows that are learned from at most (lowest hashes of their ids), and characters of such a row at most.
-MAX_TRAINING_ROWS, MAX_TRAINING_CHARS = 3_000, 50_000
+#: Rows that are learned from at most, the same number of each language where there are so many, and the length of the
+#: stretch that a longer one of them gives (None: all of it).
+MAX_TRAINING_ROWS, TRAINING_STRETCH = 3_000, 50_000
+#: Words of a piece of a long text; the pieces advance together.
+PIECE = 512
 #: Words that one pass of forward-backward holds; a longer single text is a pass of its own.
 PASS_WORDS = 400_000
 
@@ -58,41 +62,77 @@ class Crf:
         return np.add.reduceat(self.emit[flat], at, axis=0)
 
 
+def _carried(e: np.ndarray, first: np.ndarray, length: np.ndarray, seq: np.ndarray, t: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each piece (in order, `seq` names its sequence) the forward vector before its first word and the backward one at its last.
+
+    What a piece does to them is a matrix each; only the product over the pieces is taken one by one.
+    """
+    n, k = len(first), len(s)
+    ahead, back = np.ones((n, k)), np.ones((n, k))
+    f, b = np.broadcast_to(np.eye(k), (n, k, k)).copy(), np.broadcast_to(np.eye(k), (n, k, k)).copy()
+    starts = np.r_[True, seq[1:] != seq[:-1]]
+    if not starts.all():
+        for p in range(int(length.max())):
+            on = np.flatnonzero(length > p)
+            w = e[first[on] + p][:, None, :]
+            f[on] = (f[on] * w) @ t
+            b[on] = (b[on] @ t) * w
+            f[on] /= f[on].max(axis=(1, 2), keepdims=True)
+            b[on] /= b[on].max(axis=(1, 2), keepdims=True)
+    for i in range(n):
+        v = s if starts[i] else ahead[i - 1] @ f[i - 1]
+        ahead[i] = v / v.sum()
+    for i in range(n - 2, -1, -1):
+        if not starts[i + 1]:
+            v = b[i + 1] @ back[i + 1]
+            back[i] = v / v.sum()
+    return ahead, back
+
+
 def posteriors(emission: np.ndarray, size: np.ndarray, move: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Label probabilities of every word by forward-backward.
 
-    `emission` holds the words of all sequences end to end; `size` (descending, positive) their lengths.
-    At each place all sequences that are that long advance together.
+    `emission` holds the words of all sequences end to end; `size` (positive) their lengths.  Sequences are
+    cut to pieces of PIECE words, which carry exact messages over; at each place all pieces that are that
+    long advance together.
     """
-    first = np.cumsum(size) - size
-    e = np.exp(emission - emission.max(axis=1, keepdims=True))
+    e = np.exp(emission - emission.max(axis=1, keepdims=True)).astype(np.float64)
     t, s = np.exp(move - move.max()), np.exp(start - start.max())
-    active = np.searchsorted(-size, -np.arange(size[0]), "left")  # sequences longer than each place
+    pieces = -(-size // PIECE)
+    seq = np.repeat(np.arange(len(size)), pieces)
+    within = np.arange(len(seq)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    first = np.repeat(np.cumsum(size) - size, pieces) + within * PIECE
+    length = np.minimum(PIECE, size[seq] - within * PIECE)
+    ahead, back = _carried(e, first, length, seq, t, s)
+    order = np.argsort(-length, kind="stable")
+    first, length, ahead, back = first[order], length[order], ahead[order], back[order]
+    active = np.searchsorted(-length, -np.arange(length[0]), "left")  # pieces longer than each place
     out = np.empty_like(e)
     a = None
-    for p in range(size[0]):
+    for p in range(length[0]):
         k = active[p]
         at = first[:k] + p
-        a = (s if a is None else a[:k] @ t) * e[at]
+        a = (ahead if a is None else a[:k] @ t) * e[at]
         a /= a.sum(axis=1, keepdims=True)
         out[at] = a
-    b = np.ones((0, len(s)), e.dtype)
-    for p in range(size[0] - 1, -1, -1):
+    b = np.ones((0, len(s)))
+    for p in range(length[0] - 1, -1, -1):
         k = active[p]
         at = first[:k] + p
-        if p < size[0] - 1:
+        if p < length[0] - 1:
             b = (e[first[: len(b)] + p + 1] * b) @ t.T
             b /= b.sum(axis=1, keepdims=True)
-        b = np.concatenate([b, np.ones((k - len(b), len(s)), e.dtype)])
+        b = np.concatenate([b, back[len(b) : k]])
         out[at] *= b
     return out / out.sum(axis=1, keepdims=True)
 
 
-def fit_crf(texts: list[str], labels: list[str], words: int = 40, sequences: int = 2500, epochs: int = 12, seed: int = 5, ridge: float = 1e-6) -> Crf:
+def fit_crf(texts: list[str], labels: list[str], words: int = 40, sequences: int | None = None, epochs: int = 12, seed: int = 5, ridge: float = 1e-6) -> Crf:
     """Maximum likelihood on code-switched sequences that are put together from runs of the texts' words.
 
-    The runs' lengths and their neighbours are random, so that transitions between languages are learned
-    as well as staying in one.
+    The runs' lengths and their neighbours are random, so that words are learned in mixed company.  Then the
+    transitions are learned once more from stretches of the texts as they stand, their words labelled by the
+    field itself, so that they are those of the corpus.  There are as many sequences as texts, 2,500 at least.
     """
     names = sorted(set(labels))
     y_of = {x: i for i, x in enumerate(names)}
@@ -110,6 +150,7 @@ def fit_crf(texts: list[str], labels: list[str], words: int = 40, sequences: int
     model = Crf(names, np.zeros((FEATURES, len(names)), np.float32), np.zeros((len(names), len(names))), np.zeros(len(names)), lexicon)
     if len(names) < 2 or not docs:
         return model
+    sequences = max(2500, len(docs)) if sequences is None else sequences
     by_label = [[d for d, y in docs if y == k] for k in range(len(names))]
     by_label = [x or [["x"]] for x in by_label]
     seqs, tags = [], []
@@ -126,10 +167,24 @@ def fit_crf(texts: list[str], labels: list[str], words: int = 40, sequences: int
                 y = int(rng.randint(len(names)))
         seqs.append(s[:words])
         tags.append(g[:words])
+    _learn(model, seqs, np.array(tags), epochs, rng, ridge)
+    long = [d for d, _ in docs if len(d) >= words]
+    if long:
+        starts = [(d, int(rng.randint(len(d) - words + 1))) for d in (long[k] for k in rng.randint(len(long), size=sequences))]
+        real = [d[i : i + words] for d, i in starts]
+        flat = {w: i for i, w in enumerate(dict.fromkeys(w for s in real for w in s))}
+        known = model.emissions(list(flat))
+        p = posteriors(known[[flat[w] for s in real for w in s]], np.full(len(real), words), model.move, model.start)
+        _learn(model, real, p.argmax(axis=1).reshape(len(real), words), max(1, epochs // 3), rng, ridge, moves_only=True)
+    return model
+
+
+def _learn(model: Crf, seqs: list[list[str]], y: np.ndarray, epochs: int, rng: np.random.RandomState, ridge: float, moves_only: bool = False) -> None:
+    """Adam steps on the likelihood of sequences of one length with labels `y`; only transitions and start, where asked."""
+    names, sequences = model.labels, len(seqs)
     vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for s in seqs for w in s))}
-    feats = [np.array(word_features(w, lexicon)) for w in vocabulary]
+    feats = [np.array(word_features(w, model.lexicon)) for w in vocabulary]
     x = np.array([[vocabulary[w] for w in s] for s in seqs])
-    y = np.array(tags)
     m, v, step = {}, {}, 0
     for _ in range(epochs):
         order = rng.permutation(sequences)
@@ -141,16 +196,18 @@ def fit_crf(texts: list[str], labels: list[str], words: int = 40, sequences: int
             at = np.cumsum(lengths) - lengths
             e = np.add.reduceat(model.emit[flat], at, axis=0)[inverse.reshape(xs.shape)].astype(np.float64)
             g_e, g_t, g_s = _gradients(e, ys, model.move, model.start)
-            words_g = np.stack([np.bincount(inverse.ravel(), weights=g_e[:, :, k].ravel(), minlength=len(used)) for k in range(len(names))], axis=1)
-            active, spot = np.unique(flat, return_inverse=True)
-            feat_g = np.stack([np.bincount(spot, weights=np.repeat(words_g[:, k], lengths), minlength=len(active)) for k in range(len(names))], axis=1)
+            steps = [("t", model.move, g_t, slice(None)), ("s", model.start, g_s, slice(None))]
+            if not moves_only:
+                words_g = np.stack([np.bincount(inverse.ravel(), weights=g_e[:, :, k].ravel(), minlength=len(used)) for k in range(len(names))], axis=1)
+                active, spot = np.unique(flat, return_inverse=True)
+                feat_g = np.stack([np.bincount(spot, weights=np.repeat(words_g[:, k], lengths), minlength=len(active)) for k in range(len(names))], axis=1)
+                steps.append(("e", model.emit, feat_g + ridge * model.emit[active], active))
             step += 1
-            for key, value, grad, rows in (("e", model.emit, feat_g + ridge * model.emit[active], active), ("t", model.move, g_t, slice(None)), ("s", model.start, g_s, slice(None))):
+            for key, value, grad, rows in steps:
                 m.setdefault(key, np.zeros_like(value)), v.setdefault(key, np.zeros_like(value))
                 m[key][rows] = 0.9 * m[key][rows] + 0.1 * grad
                 v[key][rows] = 0.99 * v[key][rows] + 0.01 * grad**2
                 value[rows] -= 0.02 * (m[key][rows] / (1 - 0.9**step)) / (np.sqrt(v[key][rows] / (1 - 0.99**step)) + 1e-8)
-    return model
 
 
 def _gradients(e: np.ndarray, y: np.ndarray, move: np.ndarray, start: np.ndarray):
@@ -232,7 +289,6 @@ def label_texts(texts: list[str], model: Crf, key: int | None = None) -> tuple[l
         part = [(k, x) for k, x in zip(part, ids, strict=True) if x.any()]
         if not part:
             continue
-        part.sort(key=lambda p: -len(p[1]))
         table_ = rows_of.filled()
         flat, size = np.concatenate([x for _, x in part]), np.array([len(x) for _, x in part])
         p = posteriors(table_[flat], size, model.move, model.start) * (flat > 0)[:, None]
@@ -244,25 +300,60 @@ def label_texts(texts: list[str], model: Crf, key: int | None = None) -> tuple[l
     return langs, scores, means
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5, held: int = 0, max_rows: int = MAX_TRAINING_ROWS) -> DataFrame:
+def training_rows(rows: DataFrame, max_rows: int = MAX_TRAINING_ROWS, stretch: int | None = TRAINING_STRETCH) -> list[tuple[str, str]]:
+    """(text, language) of at most `max_rows` of the rows (id, text, lang): of each language those of the lowest hashes, as many of each as there are.
+
+    A text longer than `stretch` gives a stretch of that length from a place that its hash picks.
+    """
+    h = F.xxhash64(F.col("id").cast("string"), "text")
+    count = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    quota, left = 0, max_rows
+    for k, n in enumerate(sorted(count.values())):  # the same number of each, as far as there are so many
+        quota = max(quota, left // (len(count) - k))
+        left -= min(n, quota)
+    quota = max(1, quota) if count else 0
+    share = {lang: 2 * (quota + 50) / n for lang, n in count.items()}
+    while count:
+        bound = rows.sparkSession.createDataFrame([(lang, int(min(2**63 - 1, -(2**63) + x * 2**64))) for lang, x in share.items()], "lang string, bound bigint")
+        some = rows.withColumn("h", h).join(bound, "lang").where(F.col("h") <= F.col("bound"))
+        found = {r["lang"]: r["n"] for r in some.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+        short = [lang for lang, n in count.items() if found.get(lang, 0) < min(n, quota) and share[lang] < 1]
+        if not short:
+            break
+        share |= {lang: share[lang] * 4 for lang in short}
+    if not count:
+        return []
+    w = W.partitionBy("lang").orderBy("h", "text")  # about twice the quota of rows in each
+    picked = some.withColumn("r", F.row_number().over(w)).where(F.col("r") <= quota)
+    text = F.col("text")
+    if stretch:
+        at = F.pmod(F.col("h"), F.greatest(F.length(text) - stretch, F.lit(0)) + 1).cast("int") + 1
+        text = F.when(F.length(text) > stretch, F.substring(text, at, F.lit(stretch))).otherwise(text)
+    rows_ = picked.select("h", "lang", text.alias("text")).collect()
+    return [(r["text"], r["lang"]) for r in sorted(rows_, key=lambda r: (r["h"], r["lang"], r["text"]))][:max_rows]
+
+
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5, held: int = 0, max_rows: int = MAX_TRAINING_ROWS, stretch: int | None = TRAINING_STRETCH) -> DataFrame:
     """`id_col`, held_out, lang_pred and score of every row.
 
     The field is learned from rows outside fold `held` with a text and a language, at most `max_rows` of
-    them (of at most MAX_TRAINING_CHARS characters).  lang_pred is the language of the highest mean
-    probability over the words, und (score 0) for a text without a letter.
+    them (`training_rows`).  lang_pred is the language of the highest mean probability over the words (of
+    equal ones the first in order), und (score 0) for a null or empty text, for one without a letter, and
+    for all if nothing could be learned.  Very long texts are labelled whole.  Repeated rows give repeated
+    results; other columns may have any names.
     """
-    rows = docs.where((remainder(id_col, folds) != held) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) <= MAX_TRAINING_CHARS))
-    rows = lowest_hashes(rows, id_col, 2 * max_rows, rows.count())  # the share is of rows that can be learned from
-    sample = rows.select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l")).orderBy("h", "l", F.xxhash64("t")).limit(max_rows).collect()
-    model = fit_crf([r["t"] for r in sample], [r["l"] for r in sample])
+    rows, back = apart(docs)
+    rows = rows.select(F.col(back[id_col]).alias("id"), F.col(back[text_col]).cast("string").alias("text"), F.col(back[lang_col]).cast("string").alias("lang"))
+    sample = training_rows(rows.where((remainder("id", folds) != held) & F.col("lang").isNotNull() & F.col("text").isNotNull()), max_rows, stretch)
+    model = fit_crf([t for t, _ in sample], [l for _, l in sample])
     sent = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES rows at most
     key = sent._jbroadcast.id()
 
     def label(texts: list[str]):
         return label_texts(texts, sent.value, key)[:2]
 
-    out = map_texts(docs.withColumn("held_out", remainder(id_col, folds) == held), [id_col, "held_out"], text_col, label, "lang_pred string, score double")
-    return out
+    out = map_texts(rows.withColumn("held_out", remainder("id", folds) == held), ["id", "held_out"], "text", label, "lang_pred string, score double")
+    return out.withColumnRenamed("id", id_col)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

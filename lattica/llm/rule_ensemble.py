@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import checkpointed, lowest_hashes, map_texts, remainder, table
+from lattica.llm.common import apart, checkpointed, lowest_hashes, map_texts, remainder, table
 
 #: Statistics of a text, in the order of `text_statistics`.
 STATISTICS = ("chars", "words", "upper", "digits", "symbols", "exclaims", "pipes", "dup_lines", "line_chars", "word_chars", "distinct_words", "same_as_last", "stops", "commas", "ascii", "top_word")
@@ -152,33 +152,45 @@ def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 30, depth: int = 3, pen
     return RuleEnsemble(float(c - (real * mean).sum()), tuple((r, float(k)) for r, k in zip(rules, real, strict=True) if k))
 
 
-def fit_labels(stats: DataFrame, labels: DataFrame, id_col: str, label_col: str, folds: int, held: int, max_rows: int) -> RuleEnsemble:
-    """The ensemble of the labelled rows of `stats` (id and STATISTICS) outside fold `held` of `folds`, at most `max_rows` of them."""
-    train = labels.where(F.col(label_col).isNotNull() & (remainder(id_col, folds) != held)).select(id_col, F.col(label_col).cast("double").alias("__label"))
-    train = lowest_hashes(train, id_col, max_rows, train.count())
-    rows = stats.select(id_col, *STATISTICS).join(train, id_col).orderBy(F.xxhash64(F.col(id_col).cast("string")), *STATISTICS, "__label").limit(max_rows).drop(id_col).toPandas()
-    return fit_rules(rows[list(STATISTICS)].to_numpy(np.float64), rows["__label"].to_numpy(np.float64))
+def fit_labels(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, max_rows: int = MAX_TRAINING_ROWS) -> RuleEnsemble:
+    """The ensemble of the rows of `docs` (id, text) with a label in `labels` (id, label) outside fold `held` of `folds`, at most `max_rows` of them.
+
+    The ids are picked first (the lowest hashes of those that have both a text and a label), so that only
+    their texts are measured.  A repeated label row counts once.
+    """
+    train = labels.where(F.col("label").isNotNull() & (remainder("id", folds) != held)).select("id", F.col("label").cast("double").alias("label")).distinct()
+    ids = checkpointed(docs.select("id").distinct().join(train, "id", "left_semi"))
+    ids = checkpointed(lowest_hashes(ids, "id", max_rows))
+    stats = text_statistics(docs.join(F.broadcast(ids), "id", "left_semi"), ["id"])  # max_rows ids at most
+    rows = stats.join(train.join(F.broadcast(ids), "id", "left_semi"), "id").orderBy(F.xxhash64(F.col("id").cast("string")), *STATISTICS, "label").limit(max_rows).drop("id").toPandas()
+    return fit_rules(rows[list(STATISTICS)].to_numpy(np.float64), rows["label"].to_numpy(np.float64))
+
+
+def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, folds: int, held: int, max_rows: int) -> tuple[DataFrame, dict[str, str]]:
+    """`docs` with its columns renamed apart, and `score`."""
+    rows, back = apart(docs)
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"))
+    model = fit_labels(rows.select(F.col(back[id_col]).alias("id"), F.col(back[text_col]).alias("text")), known, folds, held, max_rows)
+    return text_statistics(rows, list(back.values()), back[text_col]).withColumn("score", model.score()), back
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 3, held: int = 1, max_rows: int = MAX_TRAINING_ROWS) -> DataFrame:
     """The id, held_out, score and predicted of every row.
 
     Labels are learned from rows outside fold `held` of `folds` (crc32 of the id's text), at most
-    `max_rows` of them.  Rows with a null label are not learned from; a repeated label row counts each
-    time.  Null and empty texts have all statistics 0 and are scored like others.
+    `max_rows` of them.  Rows with a null label or a null id are not learned from; a repeated label row counts
+    once.  Null and empty texts have all statistics 0 and are scored like others; very long texts are
+    measured whole; a score of exactly 0.5 predicts 1; an empty table gives an empty result, and without
+    labels every score is 0.5.  Other columns may have any names.
     """
-    stats = checkpointed(text_statistics(docs, [id_col], text_col))
-    model = fit_labels(stats, labels, id_col, label_col, folds, held, max_rows)
-    out = stats.withColumn("__score", model.score())
-    return out.select(id_col, (remainder(id_col, folds) == held).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
+    out, back = _scored(docs.select(id_col, text_col), labels, id_col, text_col, label_col, folds, held, max_rows)
+    return out.select(F.col(back[id_col]).alias(id_col), (remainder(back[id_col], folds) == held).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 3, held: int = 1, max_rows: int = MAX_TRAINING_ROWS) -> DataFrame:
-    """`docs` without the rows that `classify` predicts 0 for."""
-    model = fit_labels(text_statistics(docs, [id_col], text_col), labels, id_col, label_col, folds, held, max_rows)
-    names = {c: f"__c{i}" for i, c in enumerate(docs.columns)}  # apart from the statistics' names
-    rows = text_statistics(docs.withColumnsRenamed(names), list(names.values()), names[text_col])
-    return rows.where(model.score() >= 0.5).select(*(F.col(v).alias(c) for c, v in names.items()))
+    """`docs` without the rows that `classify` predicts 0 for; all columns, whatever their names."""
+    rows, back = _scored(docs, labels, id_col, text_col, label_col, folds, held, max_rows)
+    return rows.where(F.col("score") >= 0.5).select(*(F.col(v).alias(c) for c, v in back.items()))
 
 
 def op1_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:

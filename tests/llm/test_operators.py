@@ -9,9 +9,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from lattica.llm import bpe, class_lm, language_id, near_copies, pii, rule_ensemble
+from lattica.llm import fingerprints as fingerprint_module
 from lattica.llm.class_lm import score
 from lattica.llm.fingerprints import BINS, edited_fingerprints, fingerprint_bins, fingerprints, likeness, packed
 from lattica.llm.host_rules import host_rules, host_verdicts
@@ -503,21 +505,54 @@ def test_recall_over_ten_thousand_texts(spark):
     assert sum(links.values()) > 3000 and got == {i: links[i] for i in range(len(rows))}
 
 
-def test_fingerprints(spark, docs, empty):
-    some = docs.where("doc_id is null or doc_id not in (78, 79)")
-    out = edited_fingerprints(some)
-    keyed = sorted(((i, t) for i, t in texts() if i not in (78, 79)), key=lambda r: (r[0] is None, r[0] or 0))
-    got = defaultdict(list)
-    for r in out.collect():
-        got[r["doc_id"]].append(r)
-    assert sum(map(len, got.values())) == len(keyed)
+def plain_bins(t):
+    """The bins of a text by the definition, with the published xxHash of words and of their runs."""
+    words = [xxhash.xxh64_intdigest(w.encode(), 42) for w in WS.findall(t)]
+    if not words:
+        return []
+
+    def run(part):
+        h = 42
+        for x in part:
+            h = xxhash.xxh64_intdigest(x.to_bytes(8, "little"), h)
+        return h
+
+    filled = {}
+    for i in range(max(1, len(words) - 4)):
+        x = run(words[i : i + 5])
+        filled[x >> 57] = min(filled.get(x >> 57, 2**64), x)
+    r = random.Random(20240607)
+    donors = [r.sample([j for j in range(BINS) if j != i], BINS - 1) for i in range(BINS)]
+    return [(filled[i] if i in filled else filled[next(j for j in donors[i] if j in filled)]) & 255 for i in range(BINS)]
+
+
+@pytest.mark.parametrize("size", [16 << 20, 4000])
+def test_fingerprints(spark, docs, empty, monkeypatch, size):
+    monkeypatch.setattr(fingerprint_module, "RANGE_BYTES", size)
+    nulls = [(None, prose("aa", 40)) for _ in range(40)] + [(None, "a row without an id is a row")] * 30
+    some = docs.select("doc_id", "text").unionByName(spark.createDataFrame(nulls, "doc_id bigint, text string"))
+    signed = lambda x: x - 2**64 if x >> 63 else x
+    keyed = sorted(((i, t or "") for i, t in [*texts(), *nulls]), key=lambda r: (r[0] is None, r[0] or 0, signed(xxhash.xxh64_intdigest(r[1].encode(), 42))))
+    hexed = lambda b: "".join(f"{x:02x}" for x in b)
+
+    def alike(a, b):
+        if not a or not b:
+            return float(not a and not b)
+        return max(0.0, (sum(x == y for x, y in zip(a, b, strict=True)) / BINS - 1 / 256) / (1 - 1 / 256))
+
+    want = Counter()
     for k, (i, t) in enumerate(keyed):
         nxt, cut = keyed[(k + 1) % len(keyed)][1], len(t) // 4
         edited = t[: len(t) - cut] + nxt[:cut]
-        near = next(r for r in got[i] if r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest())
-        a, b, c = shingle_set(t), shingle_set(edited), shingle_set(nxt)
-        jac = lambda x, y: len(x & y) / len(x | y) if x | y else 1.0
-        assert near["n_chars"] == len(t) and abs(near["near_edited"] - jac(a, b)) < 0.25 and abs(near["near_next"] - jac(a, c)) < 0.25
+        a, b, c = plain_bins(t), plain_bins(edited), plain_bins(nxt)
+        want[i, len(t), hashlib.sha256(edited.encode()).hexdigest(), hexed(a), hexed(b), round(alike(a, b), 9), round(alike(a, c), 9)] += 1
+    out = edited_fingerprints(some)
+    assert Counter((*r[:5], round(r[5], 9), round(r[6], 9)) for r in out.collect()) == want
+    if size == 4000:
+        rows = some.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("place"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"), F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint").alias("bytes"))
+        of = rows.withColumn("r", fingerprint_module._ranges(rows))
+        assert of.select("r").distinct().count() > 5 and of.where(F.col("place") == 2**63 - 1).select("r").distinct().count() > 1
+        return
     by_text = defaultdict(set)
     for r in fingerprints(docs).collect():
         by_text[r["text"] or ""].add(r["fingerprint"])
@@ -585,15 +620,54 @@ def test_exchange_never_lowers_the_likelihood():
     assert np.mean([(cls[a] == cls[b]) == (kind[a] == kind[b]) for a, b in pairs]) > 0.95
 
 
-def test_lowest_hashes_hold_what_is_sorted(spark):
+def test_lowest_hashes(spark):
     from lattica.llm.common import lowest_hashes
 
     df = spark.range(50_000).withColumnRenamed("id", "doc_id")
     h = F.xxhash64(F.col("doc_id").cast("string"))
-    some = lowest_hashes(df, "doc_id", 500, 50_000)
-    assert 500 <= some.count() <= 1500
-    assert [r[0] for r in some.orderBy(h).limit(500).collect()] == [r[0] for r in df.orderBy(h).limit(500).collect()]
-    assert lowest_hashes(df, "doc_id", 500, 600).count() == 50_000
+    want = [r[0] for r in df.orderBy(h).limit(500).collect()]
+    assert [r[0] for r in lowest_hashes(df, "doc_id", 500).collect()] == want
+    assert lowest_hashes(df, "doc_id", 60_000).count() == 50_000
+    same = df.select(F.lit(None).cast("bigint").alias("doc_id"))  # one hash for all: none or all below any bound
+    assert lowest_hashes(same, "doc_id", 500).count() == 500
+
+
+def test_rules_learn_from_few_documents_of_many_labels(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, prose("aa", 5)) for k in range(300)], "doc_id bigint, text string")
+    labels = spark.range(100_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    seen = []
+    fit = rule_ensemble.fit_rules
+    monkeypatch.setattr(rule_ensemble, "fit_rules", lambda x, y: seen.append(len(y)) or fit(x, y))
+    rule_ensemble.classify(docs, labels.union(labels), max_rows=1000)
+    rule_ensemble.classify(docs, labels, max_rows=50)
+    assert seen == [sum(zlib.crc32(str(k).encode()) % 3 != 1 for k in range(300)), 50]
+
+
+def test_score_column_equals_the_plain_score(spark):
+    """Statistics and score of every row against the definitions, word by word."""
+    odd = [None, "", " ", "a", "É é 12 !! | #", "x\ny\nx\n\n", "the the the", "a" * 5000, "\U0001f600 b\x00c"] + [prose(k, 30) for k in ("aa", "bb")] * 20
+
+    def plain(t):
+        raw = t.encode()
+        if not raw:
+            return [0.0] * len(rule_ensemble.STATISTICS)
+        words, lines, n = raw.split(), raw.split(b"\n"), len(raw)
+        nw, count = max(1, len(words)), Counter(words)
+        up, low, high = (sum(a <= b < z for b in raw) for a, z in ((65, 91), (97, 123), (128, 256)))
+        return [
+            len(t), len(words), up / max(1, up + low + high), sum(48 <= b < 58 for b in raw) / n, sum(b in b"#*$%&|<>@^~=_{}[]\\" for b in raw) / n, raw.count(b"!") / n, raw.count(b"|") / n, 1 - len(set(lines)) / len(lines), len(t) / len(lines),
+            n / nw, len(count) / nw, sum(a == b for a, b in zip(words, words[1:], strict=False)) / nw, raw.count(b".") / nw, raw.count(b",") / nw, sum(b < 128 for b in raw) / n, max(count.values(), default=0) / nw,
+        ]
+
+    docs = spark.createDataFrame(list(enumerate(odd)), "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, int(k > 25)) for k in range(len(odd))], "doc_id bigint, quality int")
+    got = {r["doc_id"]: r["score"] for r in rule_ensemble.classify(docs, labels).collect()}
+    model = rule_ensemble.fit_labels(docs.select(F.col("doc_id").alias("id"), "text"), labels.select(F.col("doc_id").alias("id"), F.col("quality").alias("label")))
+    x = np.array([plain(t or "") for t in odd])
+    z = np.full(len(x), model.intercept)
+    for rule, w in model.weights:
+        z += w * np.array([all(v[rule_ensemble.STATISTICS.index(s)] > b if above else v[rule_ensemble.STATISTICS.index(s)] <= b for s, above, b in rule.bounds) for v in x])
+    assert [got[k] for k in range(len(odd))] == pytest.approx((1 / (1 + np.exp(-z))).tolist())
 
 
 def test_exchange_goes_on_until_no_symbol_moves():
@@ -619,3 +693,20 @@ def test_language_id_learns_from_few_labelled_rows_among_many(spark, monkeypatch
     monkeypatch.setattr(language_id, "fit_crf", lambda texts, labels: learned.extend(labels) or fit_crf(texts, labels))
     identify(df, max_rows=20)
     assert len(learned) == 20
+
+
+def test_training_rows_of_each_language(spark):
+    df = spark.createDataFrame([(None, f"{k} " * 40, "big") for k in range(3000)] + [(k, "x", "rare") for k in range(7)] + [(k, f"y{k}", "mid") for k in range(300)], "id bigint, text string, lang string")
+    got = language_id.training_rows(df, 107, 50)
+    assert Counter(l for _, l in got) == {"big": 50, "rare": 7, "mid": 50} and max(len(t) for t, _ in got) == 50
+    assert len(language_id.training_rows(df, 10_000, None)) == 3307
+    assert language_id.training_rows(df.where("false")) == []
+
+
+def test_long_chains_carry_exact_messages(monkeypatch):
+    r = np.random.RandomState(2)
+    size = np.array([5, 40, 1, 17, 8])
+    e, move, start = r.randn(size.sum(), 3) * 3, r.randn(3, 3), r.randn(3)
+    want = posteriors(e, size, move, start)
+    monkeypatch.setattr(language_id, "PIECE", 4)
+    assert np.allclose(posteriors(e, size, move, start), want)
