@@ -82,6 +82,21 @@ def apart(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return df.toDF(*names.values()), names
 
 
+def with_numbers(rows: DataFrame, numbers: DataFrame, key: str, spread: Column, bound: int, salts: int = 64, how: str = "inner") -> DataFrame:
+    """`rows` joined to the few columns that `numbers` has for each value of `key` (nulls are equal).
+
+    Up to `bound` rows `numbers` is broadcast; more are joined, copied to `salts` parts by `spread` (a bigint of
+    the row), so that the rows of one key are not one task.
+    """
+    named = numbers.withColumnRenamed(key, "other_key")
+    same = F.col(key).eqNullSafe(F.col("other_key"))
+    if numbers.limit(bound + 1).count() <= bound:
+        return rows.join(F.broadcast(named), same, how).drop("other_key")
+    salted = rows.withColumn("salt", F.pmod(spread, F.lit(salts)).cast("int"))
+    copies = named.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(copies, same & (F.col("salt") == F.col("part")), how).drop("other_key", "salt", "part")
+
+
 def sql_type(df: DataFrame, col: str) -> str:
     return df.schema[col].dataType.simpleString()
 

@@ -6,15 +6,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lattica.llm.common import checkpointed, table
+from lattica.llm.common import apart, checkpointed, table, with_numbers
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)
 #: A source gives each of its words this many times at most.
 MAX_EPOCHS = 3
-#: Documents in a key range on average, and the number of sources up to which their table is broadcast.
-RANGE_ROWS, BROADCAST_SOURCES = 4_000, 100_000
+#: Documents in a key range on average, and ranges in a group of ranges.
+RANGE_ROWS, GROUP_RANGES = 4_000, 2_000
+#: Sources up to which their few numbers are broadcast.
+BROADCAST_SOURCES = 100_000
 
 
 def words_in(text: Column) -> Column:
@@ -22,105 +24,128 @@ def words_in(text: Column) -> Column:
 
 
 def random_key(id_col: Column, text: Column, seed: int) -> Column:
-    """A 63-bit key of a row; only repeated rows share one."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), id_col.cast("string"), F.lit("|"), text.cast("string")), 1)
+    """A 60-bit key of a row, from a hash of seed, id and text that SQL engines share; only repeated rows have one key.
+
+    Null ids and null texts are hashed as empty ones.
+    """
+    part = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), part(id_col), F.md5(part(text)))), 1, 15), 16, 10).cast("bigint")
 
 
 def _ranked(sources: DataFrame) -> DataFrame:
-    """`sources` with `rank`: its place in the order of __source by code point, null last, from 0.
+    """`sources` with `rank`: its place in the order of source by code point, null last, from 0.
 
     Ranges are sorted apart and numbered within; the sizes of the ranges (a few numbers) give their offsets.
     """
-    order = F.col("__source").asc_nulls_last()
-    ranged = checkpointed(sources.repartitionByRange(order).sortWithinPartitions(order).withColumn("__seq", F.monotonically_increasing_id()))
-    counts = {r[0]: r[1] for r in ranged.groupBy(F.shiftright("__seq", 33)).count().collect()}
+    order = F.col("source").asc_nulls_last()
+    ranged = checkpointed(sources.repartitionByRange(order).sortWithinPartitions(order).withColumn("seq", F.monotonically_increasing_id()))
+    counts = {r[0]: r[1] for r in ranged.groupBy(F.shiftright("seq", 33)).count().collect()}
     offsets, total = [], 0
     for p in range(max(counts, default=-1) + 1):
         offsets.append(total)
         total += counts.get(p, 0)
     at = F.from_json(F.lit(str(offsets)), "array<bigint>")
-    return ranged.withColumn("rank", F.get(at, F.shiftright("__seq", 33).cast("int")) + F.col("__seq").bitwiseAND(F.lit((1 << 33) - 1))).drop("__seq")
+    return ranged.withColumn("rank", F.get(at, F.shiftright("seq", 33).cast("int")) + F.col("seq").bitwiseAND(F.lit((1 << 33) - 1))).drop("seq")
 
 
 def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_EPOCHS) -> DataFrame:
-    """`sources` (__source, source_size, ...) with `target`, in words.
+    """`sources` (source, source_size, ...) with `target`, in words.
 
     The total size is shared by weight; what would exceed `most` times a source's size is shared again
-    among the rest, until none is above.  Each round is one aggregate over the sources.
+    among the rest, until none is above.  Each round is one aggregate over the sources; a round that changes
+    anything holds a source at its cap for good, and the level doubles or ends within as many rounds as there
+    are different ratios of cap to weight.
     """
     w = F.get(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights)).cast("int")).cast("double")
-    ranked = checkpointed(_ranked(sources).withColumn("__w", w).withColumn("__cap", F.col("source_size") * float(most)))
-    total, weight = ranked.agg(F.sum("source_size"), F.sum("__w")).first()
+    ranked = checkpointed(_ranked(sources).withColumn("w", w).withColumn("cap", F.col("source_size") * float(most)))
+    total, weight = ranked.agg(F.sum("source_size"), F.sum("w")).first()
     level, full = (total / weight if total else 0.0), -1
     while total:
-        above = F.col("__cap") < F.col("__w") * level
-        n, held, free = ranked.agg(F.sum(above.cast("int")), F.sum(F.when(above, F.col("__cap")).otherwise(0.0)), F.sum(F.when(above, 0.0).otherwise(F.col("__w")))).first()
+        above = F.col("cap") < F.col("w") * level
+        n, held, free = ranked.agg(F.sum(above.cast("int")), F.sum(F.when(above, F.col("cap")).otherwise(0.0)), F.sum(F.when(above, 0.0).otherwise(F.col("w")))).first()
         if n == full or not free:
             break
         full, level = n, (total - held) / free
-    return ranked.withColumn("target", F.least(F.col("__cap"), F.col("__w") * level)).drop("__w", "__cap", "rank")
+    return ranked.withColumn("target", F.round(F.least(F.col("cap"), F.col("w") * level), 6)).drop("w", "cap", "rank")
+
 
+def _with_source(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """`rows` (source, key, ...) joined to the numbers of their source."""
+    return with_numbers(rows, sources, "source", F.col("key"), BROADCAST_SOURCES)
 
-def mix_cuts(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> tuple[DataFrame, DataFrame, bool]:
-    """The slim rows (id, __source, __key, __size), the cut of each source, and whether the cuts may be broadcast.
 
-    A cut: __source_size, __target, __epochs (how often every document of the source is taken whole), and
-    __cut_key, __cut_words, __cut_rows: documents of lower keys are taken once more, and of the one with
-    that key so many words.
+def mix_cuts(slim: DataFrame) -> DataFrame:
+    """The cut of each source of the rows (source, key, size).
+
+    A cut: source, source_size, target, epochs (how often every document of the source is taken whole), and
+    cut_key, cut_words, cut_rows: documents of lower keys are taken once more, and of those with that key
+    so many words together.  Prefix sums are taken within key ranges, over the ranges of a group of ranges, and
+    over the groups of a source: no window holds more than a few thousand rows on average.
     """
-    slim = checkpointed(docs.select(F.col(id_col), F.col(source_col).cast("string").alias("__source"), random_key(F.col(id_col), F.col(text_col), seed).alias("__key"), words_in(F.col(text_col)).alias("__size")))
-    totals = slim.groupBy("__source").agg(F.sum("__size").alias("source_size"), F.count("*").alias("__n"))
+    totals = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     budget = F.floor("target").cast("bigint")
-    targets = source_targets(totals)
-    targets = checkpointed(targets.withColumn("__epochs", F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("bigint")).withColumn("__rest", budget - F.col("__epochs") * F.col("source_size")))
-    small = targets.count() <= BROADCAST_SOURCES
-    hint = F.broadcast if small else (lambda df: df)
-
-    ranges = F.ceil(F.col("__n") / RANGE_ROWS)
-    place = F.least(ranges - 1, F.floor(F.col("__key") / F.lit(2.0**63) * ranges)).cast("int")
-    sized = targets.select(F.col("__source").alias("__s"), "__n")
-    spread = slim.join(hint(sized), F.col("__source").eqNullSafe(F.col("__s"))).withColumn("__range", place)
-    units = spread.repartition("__source", "__range").groupBy("__source", "__range", "__key").agg(F.sum("__size").alias("__w"), F.count("*").alias("__rows"))
-    units = checkpointed(units.withColumn("__end", F.sum("__w").over(W.partitionBy("__source", "__range").orderBy("__key"))))
-    before = units.groupBy("__source", "__range").agg(F.sum("__w").alias("__all"))
-    before = before.withColumn("__before", F.sum("__all").over(W.partitionBy("__source").orderBy("__range")) - F.col("__all"))
-    rest = targets.select(F.col("__source").alias("__s"), "__rest")
-    # The range that holds a source's budget, then the row in it: a join with few rows on one side.
-    ranges_cut = before.join(rest, F.col("__source").eqNullSafe(F.col("__s"))).where((F.col("__before") <= F.col("__rest")) & (F.col("__rest") < F.col("__before") + F.col("__all")))
-    ranges_cut = ranges_cut.select("__s", F.col("__range").alias("__r"), (F.col("__rest") - F.col("__before")).alias("__left"))
-    cut = units.join(ranges_cut, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__range") == F.col("__r"))).where((F.col("__end") - F.col("__w") <= F.col("__left")) & (F.col("__left") < F.col("__end")))
-    cut = cut.select("__s", F.col("__key").alias("__cut_key"), (F.col("__left") - F.col("__end") + F.col("__w")).alias("__cut_words"), F.col("__rows").alias("__cut_rows"))
-    cuts = targets.join(cut, F.col("__source").eqNullSafe(F.col("__s")), "left").select(F.col("__source").alias("__s"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), "__epochs", "__cut_key", "__cut_words", "__cut_rows")
-    return slim, checkpointed(cuts), small
-
-
-def _with_taken(rows: DataFrame, cuts: DataFrame, small: bool) -> DataFrame:
-    """`rows` (__source, __key, __size) with their source's cut, __part and __taken."""
-    part = F.when(F.col("__key") < F.col("__cut_key"), F.col("__size")).when(F.col("__key") == F.col("__cut_key"), F.least(F.col("__size"), F.floor(F.col("__cut_words") / F.col("__cut_rows")))).otherwise(0).cast("bigint")
-    joined = rows.join(F.broadcast(cuts) if small else cuts, F.col("__source").eqNullSafe(F.col("__s"))).withColumn("__part", part)
-    return joined.withColumn("__taken", F.col("__epochs") * F.col("__size") + F.col("__part"))
+    targets = source_targets(totals).withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("bigint"))
+    targets = checkpointed(targets.withColumn("rest", budget - F.col("epochs") * F.col("source_size")))
+
+    ranges = F.ceil(F.col("n") / RANGE_ROWS)
+    place = F.least(ranges - 1, F.floor(F.col("key") / F.lit(2.0**60) * ranges)).cast("bigint")
+    spread = _with_source(slim.select("source", "key", "size"), targets.select("source", "n")).withColumn("range", place)
+    units = spread.repartition("source", "range").groupBy("source", "range", "key").agg(F.sum("size").alias("words"), F.count("*").alias("rows"))
+    units = checkpointed(units.withColumn("end", F.sum("words").over(W.partitionBy("source", "range").orderBy("key"))))
+    sums = units.groupBy("source", "range").agg(F.sum("words").alias("all")).withColumn("group", F.floor(F.col("range") / GROUP_RANGES))
+    running = lambda by, order: F.sum("all").over(W.partitionBy(*by).orderBy(order)) - F.col("all")
+    groups = sums.groupBy("source", "group").agg(F.sum("all").alias("all"))
+    groups = groups.withColumn("before", running(["source"], "group")).select(F.col("source").alias("s"), F.col("group").alias("g"), "before")
+    within = sums.withColumn("inside", running(["source", "group"], "range"))
+    before = within.join(groups, F.col("source").eqNullSafe(F.col("s")) & (F.col("group") == F.col("g"))).select("source", "range", "all", (F.col("before") + F.col("inside")).alias("before"))
+    # The range that holds a source's budget, then the row in it.
+    rest = targets.select(F.col("source").alias("s"), "rest")
+    holds = before.join(rest, F.col("source").eqNullSafe(F.col("s"))).where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("all")))
+    holds = holds.select("s", F.col("range").alias("r"), (F.col("rest") - F.col("before")).alias("left"))
+    cut = units.join(holds, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r"))).where((F.col("end") - F.col("words") <= F.col("left")) & (F.col("left") < F.col("end")))
+    cut = cut.select("s", F.col("key").alias("cut_key"), (F.col("left") - F.col("end") + F.col("words")).alias("cut_words"), F.col("rows").alias("cut_rows"))
+    return checkpointed(targets.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", "epochs", "cut_key", "cut_words", "cut_rows"))
+
+
+def _taken(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    """`rows` (source, key, size, ...) with their source's cut, part and taken."""
+    part = F.when(F.col("key") < F.col("cut_key"), F.col("size")).when(F.col("key") == F.col("cut_key"), F.least(F.col("size"), F.floor(F.col("cut_words") / F.col("cut_rows")))).otherwise(0).cast("bigint")
+    joined = _with_source(rows, cuts).withColumn("part", part)
+    return joined.withColumn("taken", F.col("epochs") * F.col("size") + F.col("part"))
+
+
+def _slim(rows: DataFrame, id_: str, text: str, source: str, seed: int) -> DataFrame:
+    return checkpointed(rows.select(F.col(id_).alias("id"), F.col(source).cast("string").alias("source"), random_key(F.col(id_), F.col(text), seed).alias("key"), words_in(F.col(text)).alias("size")))
 
 
 def mix_amounts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17) -> DataFrame:
     """`id_col`, size, source_size, target and taken of every row: how many words of it the mix takes.
 
-    A null source is a source of its own, last in order.  Null and empty texts have size 0 and give 0.
-    Repeated rows share one key; if the cut falls on them, each gives the same part.
+    A null source is a source of its own, last in order.  Null and empty texts have size 0 and give 0; very
+    long texts are counted whole.  Repeated rows share one key; if the cut falls on them, each gives the same
+    part.  An empty table gives an empty result; other columns may have any names.
     """
-    slim, cuts, small = mix_cuts(docs, id_col, text_col, source_col, seed)
-    return _with_taken(slim, cuts, small).select(id_col, F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__taken").alias("taken"))
+    rows, back = apart(docs)
+    slim = _slim(rows, back[id_col], back[text_col], back[source_col], seed)
+    return _taken(slim, mix_cuts(slim)).select(F.col("id").alias(id_col), "size", "source_size", "target", "taken")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17) -> DataFrame:
-    """The mixed rows, with the columns of `docs`: each row as often as the mix takes it, the one at the cut with its first words only."""
-    _, cuts, small = mix_cuts(docs, id_col, text_col, source_col, seed)
-    keyed = docs.withColumns({"__source": F.col(source_col).cast("string"), "__key": random_key(F.col(id_col), F.col(text_col), seed), "__size": words_in(F.col(text_col))})
-    rows = _with_taken(keyed, cuts, small)
-    copies = F.col("__epochs") + (F.col("__part") > 0).cast("bigint")
-    rows = rows.where((F.col("__size") > 0) & (copies > 0)).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), copies)))
-    first = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(f"[\\x20\\x09-\\x0D]*{WORD}"), F.lit(0)), F.lit(1), F.col("__part").cast("int")), "")
-    cut_off = (F.col("__copy") > F.col("__epochs")) & (F.col("__part") < F.col("__size"))
-    return rows.withColumn(text_col, F.when(cut_off, first).otherwise(F.col(text_col))).select(*docs.columns)
+    """The mixed rows, with the columns of `docs`: each row as often as the mix takes it, the one at the cut with its first words only.
+
+    Which rows the mix takes is worked out on slim rows (id, key, size); only then are texts read again, and a
+    row's copies follow from its own key and its source's cut.
+    """
+    rows, back = apart(docs)
+    id_, text, source = back[id_col], back[text_col], back[source_col]
+    cuts = mix_cuts(_slim(rows, id_, text, source, seed))
+    keyed = rows.withColumns({"source": F.col(source).cast("string"), "key": random_key(F.col(id_), F.col(text), seed), "size": words_in(F.col(text))})
+    copies = F.col("epochs") + (F.col("part") > 0).cast("bigint")
+    taken = _taken(keyed, cuts).where((F.col("size") > 0) & (copies > 0)).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), copies)))
+    first = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(f"[\\x20\\x09-\\x0D]*{WORD}"), F.lit(0)), F.lit(1), F.col("part").cast("int")), "")
+    cut_off = (F.col("copy") > F.col("epochs")) & (F.col("part") < F.col("size"))
+    taken = taken.withColumn(text, F.when(cut_off, first).otherwise(F.col(text)))
+    return taken.select(*(F.col(v).alias(c) for c, v in back.items()))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
