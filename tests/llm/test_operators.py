@@ -634,34 +634,120 @@ def test_fingerprint_likeness_is_unbiased(spark):
     assert df.select(packed(fingerprint_bins(F.lit("x y z"))).alias("p")).first()["p"] == df.select(packed(fingerprint_bins(F.lit("x  y\nz"))).alias("p")).first()["p"]
 
 
-@pytest.mark.parametrize("held", [200_000, 20])
-def test_class_lm(docs, empty, monkeypatch, held):
+def plain_tokens(t):
+    return [*WS.findall("".join(c.lower() if c < "\x80" else c for c in t)), None]
+
+
+def plain_model(train, cls):
+    """log10 probability of a text by the definition, from the training texts and the words' classes (None is the end)."""
+    count = Counter(w for t in train for w in plain_tokens(t))
+    kind = lambda w: 0 if w is None else cls.get(w, class_lm.RARE)
+    moves = Counter()
+    last = 0
+    for t in train:
+        for w in plain_tokens(t):
+            moves[last, kind(w)] += 1
+            last = kind(w)
+    leaving, kinds = Counter(), class_lm.CLASSES + 1
+    for (a, _), n in moves.items():
+        leaving[a] += n
+    tokens, words = Counter(), Counter()
+    for w, n in count.items():
+        tokens[kind(w)] += n
+        words[kind(w)] += 1
+
+    def of(t):
+        total, last = 0.0, 0
+        for w in plain_tokens(t):
+            k = kind(w)
+            total += math.log10((moves[last, k] + 0.5) / (leaving[last] + 0.5 * kinds)) + math.log10((count[w] + 0.5) / (tokens[k] + 0.5 * (words[k] + 1)))
+            last = k
+        return total
+
+    return of
+
+
+@pytest.mark.parametrize(("held", "core"), [(1_000_000, 1000), (300, 50)])
+def test_class_lm(spark, docs, empty, monkeypatch, held, core):
     monkeypatch.setattr(class_lm, "HELD_WORDS", held)
-    toks = lambda t: [*WS.findall("".join(c.lower() if c < "\x80" else c for c in t)), None]
+    monkeypatch.setattr(class_lm, "CORE_WORDS", core)
     train = [t for i, t in texts() if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
-    count = Counter(w for t in train for w in toks(t))
+    count = Counter(w for t in train for w in plain_tokens(t))
     n, v = sum(count.values()), len(count)
+    # The words' classes as fitted, by their hashes.
+    model, counts = class_lm.fit(docs.where("doc_id is null or pmod(crc32(cast(doc_id as string)), 7) <> 2").repartition(1).sortWithinPartitions("doc_id"), "text")
+    at = {int(h): k for k, h in enumerate(model.hashes)}
+    cls = {bytes(r["word"]).decode(): int(model.cls[at[r["h"] % 2**64]]) for r in counts.collect() if r["h"] % 2**64 in at}
+    assert len(cls) == len(model.hashes) <= held and all(0 < k < class_lm.CLASSES for k in cls.values())
+    if held > v:
+        assert set(cls) == {w for w, c in count.items() if c >= 2 and w is not None}
     got = Counter()
-    for r in score(docs).collect():
+    rows = docs.repartition(1).sortWithinPartitions("doc_id")
+    out = score(rows).collect()
+    for r in out:
         got[r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)] += 1
         assert r["score"] < 0 and r["perplexity"] > 1
-    want = Counter((i, len(toks(t)), sum(count[w] > 0 for w in toks(t)), n, round(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in toks(t)), 6)) for i, t in texts())
+    want = Counter((i, len(plain_tokens(t)), sum(count[w] > 0 for w in plain_tokens(t)), n, round(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in plain_tokens(t)), 6)) for i, t in texts())
     assert got == want
+    if held > v:
+        plain = plain_model([t for i, t in sorted(texts(), key=lambda r: (r[0] is not None, r[0] or 0)) if i is None or zlib.crc32(str(i).encode()) % 7 != 2], cls)
+        by_id = defaultdict(list)
+        for i, t in texts():
+            by_id[i].append(plain(t))
+        for r in out:
+            assert any(r["score"] == pytest.approx(x, rel=1e-9) for x in by_id[r["doc_id"]])
     assert score(empty).count() == 0
 
 
 def test_class_lm_is_a_distribution(spark):
-    df = spark.createDataFrame([(i, " ".join(rng.choice(["red", "blue", "cat", "dog", "x1", "y2"]) for _ in range(6))) for i in range(80)], "doc_id bigint, text string")
+    df = spark.createDataFrame([(i, " ".join(rng.choice(["red", "blue", "cat", "dog", "x1", "y2"]) for _ in range(6)) + f" u{i}") for i in range(80)], "doc_id bigint, text string")
     model, counts = class_lm.fit(df, "text")
     assert np.allclose((10**model.move).sum(axis=1), 1)
-    symbol = class_lm._Symbols(model.single)
+    at = {int(h): k for k, h in enumerate(model.hashes)}
     total = defaultdict(float)
     for r in counts.collect():
-        total[model.cls[symbol[bytes(r["word"])]]] += r["c"] + class_lm.EMIT_ADD
+        k = at.get(r["h"] % 2**64)
+        total[class_lm.RARE if k is None else model.cls[k]] += r["c"] + class_lm.EMIT_ADD
+    assert class_lm.RARE in total and len(total) > 1
     for k, x in total.items():
         assert (x + class_lm.EMIT_ADD) / 10 ** model.log_class[k] == pytest.approx(1)
 
 
+def test_words_outside_the_core_join_their_kind(spark, monkeypatch):
+    """Over 10,000 words of two kinds that take turns, nearly all outside the core, fall into classes of one kind."""
+    monkeypatch.setattr(class_lm, "CORE_WORDS", 60)
+    r = random.Random(9)
+    kinds = [[f"{k}{i}" for i in range(6000)] for k in "ab"]
+    pick = lambda k: kinds[k][int(6000 * r.random() ** 2)]
+    df = spark.createDataFrame([(i, " ".join(pick(j % 2) for j in range(60))) for i in range(3000)], "doc_id bigint, text string")
+    model, counts = class_lm.fit(df, "text")
+    at = {int(h): k for k, h in enumerate(model.hashes)}
+    by = defaultdict(Counter)
+    for row in counts.where("c >= 16").collect():
+        by[int(model.cls[at[row["h"] % 2**64]])][bytes(row["word"])[:1]] += 1
+    pure = sum(max(c.values()) for c in by.values()) / sum(sum(c.values()) for c in by.values())
+    assert len(model.hashes) > 10_000 and pure > 0.97
+
+
+def test_best_class_has_the_largest_likelihood():
+    r = np.random.RandomState(4)
+    g = r.poisson(3, (class_lm._KINDS, class_lm._KINDS)).astype(float)
+    word, context, n = np.array([0, 0, 0, 1, 1, 2]), np.array([3, 60, 70, 5, 49 + 5, 48]), np.array([2.0, 5, 1, 40, 2, 1])
+    got = class_lm.best_classes(g, word, context, n, 3)
+    f = lambda x: (x * np.log(np.maximum(x, 1e-300))).sum()
+    for w in range(3):
+        gain = []
+        for k in range(1, class_lm.CLASSES):
+            h = g.copy()
+            for c, x in zip(context[word == w], n[word == w], strict=True):
+                if c >= 49:
+                    h[k, c - 49] += x
+                else:
+                    h[c, k] += x
+            gain.append(f(h) - f(h.sum(axis=0)) - f(h.sum(axis=1)))
+        assert got[w] == 1 + int(np.argmax(gain))
+
+
 def test_exchange_never_lowers_the_likelihood():
     r = np.random.RandomState(3)
     kind = r.randint(0, 3, 40)
