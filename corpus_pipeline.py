@@ -53,11 +53,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over `documents`, each written to the shared folder and read again. The last is returned unwritten."""
+    """The stages over `documents`, each written to the shared folder and read again. The last is returned unwritten.
+
+    A stage's files go once the next is written, those of the last but one stay for the result that reads them; if a
+    stage fails, all go.
+    """
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES[:-1]):
-        docs = stored(stage(spark, docs, sf_dir), f"{folder}/{k}")
-        if k:
-            removed(spark, f"{folder}/{k - 1}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    try:
+        for k, (_, stage) in enumerate(STAGES[:-1]):
+            docs = stored(stage(spark, docs, sf_dir), f"{folder}/{k}")
+            if k:
+                removed(spark, f"{folder}/{k - 1}")
+        return STAGES[-1][1](spark, docs, sf_dir)
+    except BaseException:
+        removed(spark, folder)
+        raise

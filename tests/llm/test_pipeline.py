@@ -39,3 +39,36 @@ def test_queries_are_registered():
 
     names = set(e.queries())
     assert {"pipeline"} | {n for n in names if n.startswith("op")} and len({n.split("_")[0] for n in names if n.startswith("op")}) == 10
+
+
+def test_queries_against_their_sql(spark):
+    """Every row of the queries that have SQL, as DuckDB has it."""
+    import duckdb
+
+    import __spark_entry__ as e
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    for name in ("op4_host_rules", "op5_pii", "op6_mixing", "op7_near_copies"):
+        rows, want = e.queries()[name](spark, SF), con.execute(e.oracle_sql()[name])
+        columns = [c[0] for c in want.description]
+        assert sorted(rows.columns) == sorted(columns)
+        assert sorted(map(tuple, rows.select(*columns).collect()), key=str) == sorted(want.fetchall(), key=str), name
+
+
+def test_a_failed_stage_leaves_nothing(spark, monkeypatch):
+    import corpus_pipeline as c
+    from lattica.llm.common import shared_folder
+
+    def fails(*_):
+        raise RuntimeError("stage")
+
+    monkeypatch.setattr(c, "STAGES", [("a", lambda spark, docs, sf: docs), ("b", fails), *c.STAGES[2:]])
+    def left():
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+        return {f.getPath().getName() for f in path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)}
+
+    before = left()
+    with pytest.raises(RuntimeError):
+        c.run(spark, SF)
+    assert left() == before
