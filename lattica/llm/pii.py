@@ -33,6 +33,8 @@ MIN_SUPPORT = 2
 #: ... and its pointwise mutual information with the entity is at least this share of the entity's own
 #: information: beyond the first it is generalised, beyond the second removed.
 GENERALISE, REMOVE = 0.8, 0.95
+#: Keys of repeated texts up to which they are broadcast (32 bytes each).
+BROADCAST_KEYS = 500_000
 #: Spans of a text beyond which it is taken apart by an array of its characters (in place of substrings, each of
 #: which reads the text from its start).
 MANY_SPANS = 32
@@ -126,16 +128,17 @@ def revealing_terms(docs: DataFrame, text_col: str = "text", min_support: int =
     pairs are never made.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(text.alias("text")).withColumn("key", F.sha2("text", 256))
+    rows = docs.select(text.alias("text")).withColumn("key", F.md5("text"))
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))).alias("words")
     found = rows.where(_may("text")).withColumn("spans", base_spans(F.col("text"))).where(F.size("spans") > 0)
     entities = F.array_distinct(F.flatten(F.transform("spans", lambda x: levels(x["kind"], x["s"])))).alias("entities")
     found = checkpointed(found.select("key", entities, words).dropDuplicates(["key"]))
     holders = found.select("key", F.explode("entities").alias("entity"))
     n_e = checkpointed(holders.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= min_support))
-    once = rows.select("key", words).dropDuplicates(["key"])
-    n_t = checkpointed(once.select(F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).where(F.col("n_t") >= min_support))
-    n = float(max(1, rows.select("key").distinct().count()))
+    times = checkpointed(rows.groupBy("key").agg(F.count("*").alias("times")))
+    n = float(max(1, times.count()))
+    n_t = _once(rows, times).select(F.explode(words)).select(F.col("col").alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    n_t = checkpointed(n_t.where(F.col("n_t") >= min_support))
     most = F.col("n_e") * F.pow(F.lit(n) / F.col("n_e"), F.lit(1 - generalise)) * 1.000001
     n_e = n_e.withColumn("most", most)
     held = checkpointed(holders.join(n_e, "entity"))
@@ -150,6 +153,18 @@ def revealing_terms(docs: DataFrame, text_col: str = "text", min_support: int =
     return listed_.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("term", "kind"))).alias("terms"))
 
 
+def _once(rows: DataFrame, times: DataFrame) -> DataFrame:
+    """One row (text) of each key of `rows` (text, key), which `times` has how often.
+
+    Up to BROADCAST_KEYS repeated keys are broadcast and only their texts are shuffled, else all texts are.
+    """
+    repeated = times.where("times > 1").select("key")
+    if repeated.limit(BROADCAST_KEYS + 1).count() > BROADCAST_KEYS:
+        return rows.dropDuplicates(["key"]).select("text")
+    single = rows.join(F.broadcast(repeated), "key", "left_anti").select("text")
+    return single.union(rows.join(F.broadcast(repeated), "key", "left_semi").dropDuplicates(["key"]).select("text"))
+
+
 def _may(text: str) -> Column:
     """Whether a text can hold an entity at all."""
     return F.contains(F.col(text), F.lit("@")) | F.col(text).rlike("[0-9]")
@@ -179,7 +194,7 @@ def find_pii(docs: DataFrame, text_col: str = "text", spans_col: str = "pii_span
     rows = rows.withColumn("text", text)
     base = F.when(_may("text"), base_spans(F.col("text"))).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,s:string>>"))
     plain = rows.where(F.size(base) == 0).withColumn("spans", F.array().cast(kind_spans))
-    some = rows.where(_may("text")).withColumn("base", base_spans(F.col("text"))).where(F.size("base") > 0).withColumn("key", F.sha2("text", 256)).join(terms, "key", "left")
+    some = rows.where(_may("text")).withColumn("base", base_spans(F.col("text"))).where(F.size("base") > 0).withColumn("key", F.md5("text")).join(terms, "key", "left")
     slim = F.transform("base", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
     added = F.when(F.col("terms").isNotNull(), _term_spans(F.col("text"), F.col("terms"), F.col("base"))).otherwise(F.array().cast(kind_spans))
     names = [*back.values(), "spans"]

@@ -326,7 +326,9 @@ def plain_pii(texts):
     return out
 
 
-def test_pii_equals_a_plain_version(spark):
+@pytest.mark.parametrize("keys", [500_000, 1])
+def test_pii_equals_a_plain_version(spark, monkeypatch, keys):
+    monkeypatch.setattr(pii, "BROADCAST_KEYS", keys)
     r = random.Random(3)
     contact = ["jo@ex.org", "al@ex.org", "10.0.0.7", "10.0.9.9", "+1 (555) 010-9999", "4111 1111 1111 1111", "my line", "nothing"]
     texts = [f"{prose('aa', r.randint(1, 12))} {r.choice(['Desk', 'agent', 'of', 'été'])} {r.choice(contact)} {prose('bb', r.randint(1, 6))} {r.choice(contact)}" for _ in range(150)]
