@@ -39,12 +39,13 @@ def div(a: Column, b: Column, whole: bool = False) -> Column:
 
 def fdiv(a: Column, b: Column) -> Column:
     """Floor of the quotient."""
-    return F.when(b != 0, F.floor((a - F.pmod(a, b)) / b))
+    return F.when(b != 0, F.floor((a - fmod(a, b)) / b))
 
 
 def fmod(a: Column, b: Column) -> Column:
     """a - b floor(a / b): the remainder with the sign of b."""
-    return F.when(b != 0, a - b * F.floor(a / b))
+    rest = a % b
+    return F.when(b != 0, F.when((rest != 0) & ((rest < 0) != (b < 0)), rest + b).otherwise(rest))
 
 
 def smod(a: Column, b: Column) -> Column:

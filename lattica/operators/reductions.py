@@ -174,7 +174,7 @@ def find_at_or_past(keys: DataFrame, key: str, data: DataFrame, value: str, plac
     both = both.union(keys.select(F.col(key).cast("double"), F.lit(0), F.lit(None).cast("bigint"), F.col(key)))
     ranged = cut(both.repartitionByRange("__x").withColumn("__part", F.spark_partition_id()))
     ends = ranged.groupBy("__part").agg(F.min("__p").alias("__first")).withColumn("__next", F.min("__first").over(W.orderBy("__part").rowsBetween(1, W.unboundedFollowing)))
-    w = W.partitionBy("__part").orderBy("__x", "__side").rowsBetween(0, W.unboundedFollowing)
+    w = W.partitionBy("__part").orderBy(F.desc("__x"), F.desc("__side")).rowsBetween(W.unboundedPreceding, 0)
     placed = ranged.withColumn("__at", F.min("__p").over(w)).where("__side = 0").join(F.broadcast(ends), "__part")
     return placed.select(F.col("__key").alias(key), F.coalesce("__at", "__next", F.lit(-1)).cast("bigint").alias("v"))
 
@@ -190,7 +190,7 @@ def findspans(a: NdArray) -> DataFrame:
     starts, ends = on.join(before, "i0", "left_anti"), on.join(after, "i0", "left_anti")
     pairs = starts.select("i0", F.lit(0).alias("end")).union(ends.select("i0", F.lit(1)))
     tile = F.floor(F.col("i0") / 1_000_000)
-    w = W.partitionBy("tile").orderBy("i0", "end").rowsBetween(0, W.unboundedFollowing)
+    w = W.partitionBy("tile").orderBy(F.desc("i0"), F.desc("end")).rowsBetween(W.unboundedPreceding, 0)
     marked = pairs.withColumn("tile", tile).withColumn("stop", F.min(F.when(F.col("end") == 1, F.col("i0"))).over(w))
     # A run may pass the end of its tile: the first end of the tiles after it.
     firsts = marked.groupBy("tile").agg(F.min(F.when(F.col("end") == 1, F.col("i0"))).alias("first"))

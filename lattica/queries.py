@@ -233,7 +233,7 @@ bit_count(xor(o_custkey, o_orderkey))::bigint as h, (o_custkey >> 2) & 7 as b, g
 def integer_operators(spark, sf):
     k, seven = F.col("o_custkey"), F.lit(7)
     c = lambda x, n: x.cast("bigint").alias(n)
-    return tab(spark, sf, "orders").select("o_orderkey", c(el.idiv(k, seven), "q"), c(F.pmod(k, seven), "m"), c(el.smod(k, seven), "s"), c(el.bit_and(k, F.lit(12)), "a"), c(el.bit_or(k, F.lit(12)), "o"), c(el.bit_xor(k, F.lit(12)), "x"), c(el.hamming(k, F.col("o_orderkey")), "h"), c(el.extract_bits(k, 2, 3), "b"), c(el.larger(k, F.lit(700)), "hi"), c(el.smaller(k, F.lit(700)), "lo"), c(el.gt(k, F.lit(700)), "gt"), c(el.not_(k), "n"))
+    return tab(spark, sf, "orders").select("o_orderkey", c(el.idiv(k, seven), "q"), c(el.fmod(k, seven), "m"), c(el.smod(k, seven), "s"), c(el.bit_and(k, F.lit(12)), "a"), c(el.bit_or(k, F.lit(12)), "o"), c(el.bit_xor(k, F.lit(12)), "x"), c(el.hamming(k, F.col("o_orderkey")), "h"), c(el.extract_bits(k, 2, 3), "b"), c(el.larger(k, F.lit(700)), "hi"), c(el.smaller(k, F.lit(700)), "lo"), c(el.gt(k, F.lit(700)), "gt"), c(el.not_(k), "n"))
 
 
 @q("""select l_orderkey, l_linenumber, round(sqrt(l_quantity) + ln(l_quantity) + exp(l_discount) + sin(l_tax) + cos(l_tax) + tan(l_tax) + atan2(l_tax, l_quantity) + cbrt(l_quantity) + asin(l_tax) + acos(l_tax) + atan(l_quantity)
@@ -891,3 +891,6 @@ def planet_places(spark, sf):
     j = dates.jd(F.col("o_orderdate"))
     t = tab(spark, sf, "orders").select("o_orderdate").distinct()
     return t.select("o_orderdate", *(r4(special.column(lambda d, n=n: astro.geocentric(n, d)[0], j), n) for n in ("sun", "mars", "jupiter")))
+
+
+from lattica import standard_queries  # noqa: E402, F401  registers its queries
