@@ -17,7 +17,7 @@ BIN_BITS, BITS, SHINGLE = 7, 8, 5
 BINS = 1 << BIN_BITS
 #: Text bytes of a range of documents, ranges at most (which bounds what is broadcast; a larger range is sorted and read
 #: by spilling), and sampled rows for each range's bound.
-RANGE_BYTES, MAX_RANGES, RANGE_SAMPLE = 16 << 20, 50_000, 40
+RANGE_BYTES, MAX_RANGES, RANGE_SAMPLE = 4 << 20, 50_000, 40
 #: Donors tried one by one before all the rest are looked at together.
 FIRST_DONORS = 6
 
