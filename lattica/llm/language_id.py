@@ -303,34 +303,35 @@ def label_texts(texts: list[str], model: Crf, key: int | None = None) -> tuple[l
 def training_rows(rows: DataFrame, max_rows: int = MAX_TRAINING_ROWS, stretch: int | None = TRAINING_STRETCH) -> list[tuple[str, str]]:
     """(text, language) of at most `max_rows` of the rows (id, text, lang): of each language those of the lowest hashes, as many of each as there are.
 
-    A text longer than `stretch` gives a stretch of that length from a place that its hash picks.
+    Rows of equal id and text count once.  Of more than `max_rows` languages the most frequent are learned.  A text
+    longer than `stretch` gives a stretch of that length from a place that its hash picks.
     """
-    h = F.xxhash64(F.col("id").cast("string"), "text")
-    count = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_rows)
+    count = {r["lang"]: r["n"] for r in counts.collect()}  # max_rows languages at most
     quota, left = 0, max_rows
     for k, n in enumerate(sorted(count.values())):  # the same number of each, as far as there are so many
         quota = max(quota, left // (len(count) - k))
         left -= min(n, quota)
-    quota = max(1, quota) if count else 0
+    quota = max(1, quota)
     share = {lang: 2 * (quota + 50) / n for lang, n in count.items()}
+    text, h = F.col("text"), F.col("h")
+    if stretch:
+        at = F.pmod(h, F.greatest(F.length(text) - stretch, F.lit(0)) + 1).cast("int") + 1
+        text = F.when(F.length(text) > stretch, F.substring(text, at, F.lit(stretch))).otherwise(text)
+    hashed = rows.withColumn("h", F.xxhash64(F.col("id").cast("string"), "text"))
+    found: list = []
     while count:
         bound = rows.sparkSession.createDataFrame([(lang, int(min(2**63 - 1, -(2**63) + x * 2**64))) for lang, x in share.items()], "lang string, bound bigint")
-        some = rows.withColumn("h", h).join(bound, "lang").where(F.col("h") <= F.col("bound"))
-        found = {r["lang"]: r["n"] for r in some.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-        short = [lang for lang, n in count.items() if found.get(lang, 0) < min(n, quota) and share[lang] < 1]
+        some = hashed.join(F.broadcast(bound), "lang").where(h <= F.col("bound"))  # a row for each language in `count`
+        once = some.groupBy("lang", "h").agg(F.min(text).alias("text"))  # about twice the quota of each language
+        first = F.row_number().over(W.partitionBy("lang").orderBy("h"))
+        found = once.withColumn("r", first).where(F.col("r") <= quota).select("h", "lang", "text").collect()
+        got = Counter(r["lang"] for r in found)
+        short = [lang for lang, n in count.items() if got[lang] < min(n, quota) and share[lang] < 1]
         if not short:
             break
         share |= {lang: share[lang] * 4 for lang in short}
-    if not count:
-        return []
-    w = W.partitionBy("lang").orderBy("h", "text")  # about twice the quota of rows in each
-    picked = some.withColumn("r", F.row_number().over(w)).where(F.col("r") <= quota)
-    text = F.col("text")
-    if stretch:
-        at = F.pmod(F.col("h"), F.greatest(F.length(text) - stretch, F.lit(0)) + 1).cast("int") + 1
-        text = F.when(F.length(text) > stretch, F.substring(text, at, F.lit(stretch))).otherwise(text)
-    rows_ = picked.select("h", "lang", text.alias("text")).collect()
-    return [(r["text"], r["lang"]) for r in sorted(rows_, key=lambda r: (r["h"], r["lang"], r["text"]))][:max_rows]
+    return [(r["text"], r["lang"]) for r in sorted(found, key=lambda r: (r["h"], r["lang"], r["text"]))][:max_rows]
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5, held: int = 0, max_rows: int = MAX_TRAINING_ROWS, stretch: int | None = TRAINING_STRETCH) -> DataFrame:

@@ -849,6 +849,10 @@ def test_training_rows_of_each_language(spark):
     assert Counter(l for _, l in got) == {"big": 50, "rare": 7, "mid": 50} and max(len(t) for t, _ in got) == 50
     assert len(language_id.training_rows(df, 10_000, None)) == 3307
     assert language_id.training_rows(df.where("false")) == []
+    again = spark.createDataFrame([(5, "same", "big")] * 2000 + [(k, f"z{k}", "big") for k in range(40)] + [(1, "w", f"l{k}") for k in range(30)], "id bigint, text string, lang string")
+    assert sum(t == "same" for t, _ in language_id.training_rows(again, 3000)) == 1 and len(language_id.training_rows(again, 3000)) == 71
+    few = language_id.training_rows(again, 4)
+    assert [l for _, l in few].count("big") == 1 and len({l for _, l in few}) == 4
 
 
 def test_long_chains_carry_exact_messages(monkeypatch):
