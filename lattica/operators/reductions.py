@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lattica.ndarray import NdArray
+from lattica.ndarray import TILE, NdArray
 from lattica.plans.lineage import cut
 
 NAN = float("nan")
@@ -130,10 +131,12 @@ def hist(df: DataFrame, value: Column, first: int | None = 0) -> DataFrame:
 
 
 def histr(df: DataFrame, value: Column, first: int | None = 0) -> DataFrame:
-    """Running histogram, the last being 1. One row for each value, so the window is over the histogram only."""
-    h = hist(df, value, first)
-    w = W.orderBy("i0").rowsBetween(W.unboundedPreceding, 0)
-    return h.select("i0", (F.sum("v").over(w) / F.sum("v").over(W.partitionBy())).alias("v"))
+    """Running histogram, the last being 1. Counts add up within tiles of values, and the sums of the tiles before are added."""
+    h = cut(hist(df, value, first).withColumn("__tile", F.floor(F.col("i0") / TILE)))
+    sums = h.groupBy("__tile").agg(F.sum("v").alias("__n"))
+    sums = sums.select("__tile", (F.sum("__n").over(W.orderBy("__tile")) - F.col("__n")).alias("__before"), F.sum("__n").over(W.partitionBy()).alias("__all"))
+    w = W.partitionBy("__tile").orderBy("i0")
+    return h.join(sums, "__tile").select("i0", ((F.col("__before") + F.sum("v").over(w)) / F.col("__all")).alias("v"))
 
 
 def distr(df: DataFrame, bin_: Column, value: Column, bins: int) -> DataFrame:
@@ -142,11 +145,33 @@ def distr(df: DataFrame, bin_: Column, value: Column, bins: int) -> DataFrame:
     return df.sparkSession.range(bins).select(F.col("id").alias("i0")).join(sums, "i0", "left").select("i0", F.coalesce("v", F.lit(0.0)).alias("v"))
 
 
+def _quantile_of_all(df: DataFrame, order: float) -> DataFrame:
+    """The element of column v at order * (n - 1), interpolated, as one row; null without values.
+
+    Equal values are folded first; counts are summed up within ranges of values, and the sums of the ranges before
+    are added, so that no task has all values.
+    """
+    counts = df.where("v is not null").groupBy(F.col("v").cast("double").alias("v")).agg(F.count("*").alias("__c"))
+    ranged = cut(counts.repartitionByRange("v").withColumn("__part", F.spark_partition_id()))
+    sums = ranged.groupBy("__part").agg(F.sum("__c").alias("__n"))
+    n = sums.agg(F.sum("__n")).first()[0] or 0
+    place = order * max(0, n - 1)
+    lo, hi = math.floor(place), math.ceil(place)
+    before = sums.select("__part", (F.sum("__n").over(W.orderBy("__part")) - F.col("__n")).alias("__before"))
+    upto = F.col("__before") + F.sum("__c").over(W.partitionBy("__part").orderBy("v"))
+    ends = ranged.join(F.broadcast(before), "__part").withColumn("__upto", upto)  # `before` has a row for each range
+    at = lambda k: F.min(F.when(F.col("__upto") > k, F.col("v")))
+    ends = ends.agg(at(lo).alias("__lo"), at(hi).alias("__hi"))
+    return ends.select(F.when(F.col("__lo") == F.col("__hi"), F.col("__lo")).otherwise((hi - place) * F.col("__lo") + (place - lo) * F.col("__hi")).alias("v"))
+
+
 def quantile(a: NdArray, order: float, axes=None, keepdims: bool = False) -> DataFrame:
-    """Element at order * (n - 1), interpolated; of whole numbers the increment is cut."""
-    v = F.col("v")
-    exact = F.percentile(v, F.lit(float(order)))
-    return reduce_axes(a, axes, keepdims, (F.floor(exact).cast(a.dtype) if a.dtype in ("tinyint", "smallint", "int", "bigint") else exact).alias("v"))
+    """Element at order * (n - 1), interpolated; of whole numbers the increment is cut. Over all axes no task has all cells."""
+    whole = lambda x: F.floor(x).cast(a.dtype) if a.dtype in ("tinyint", "smallint", "int", "bigint") else x
+    if axes is None or len({a.axis(k) for k in ([axes] if isinstance(axes, int) else axes)}) == a.ndim:
+        zeros = [F.lit(0).cast("bigint").alias(c) for c in a.axes] if keepdims else []
+        return _quantile_of_all(a.df, float(order)).select(*zeros, whole(F.col("v")).alias("v"))
+    return reduce_axes(a, axes, keepdims, whole(F.percentile(F.col("v"), F.lit(float(order)))).alias("v"))
 
 
 def median(a: NdArray, axes=None, keepdims: bool = False) -> DataFrame:

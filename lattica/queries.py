@@ -180,10 +180,19 @@ def quantile_axis(spark, sf):
     return red.quantile(emb(spark, sf), 0.3, 1).select("i0", r4("v", places=6))
 
 
-@q("select p_brand as brand, floor(quantile_cont(p_size, 0.5))::bigint as v from part group by 1")
+@q("select floor(quantile_cont(p_size, 0.5))::bigint as v from part")
 def median_whole(spark, sf):
-    t = tab(spark, sf, "part")
-    return t.groupBy(F.col("p_brand").alias("brand")).agg(F.floor(F.percentile("p_size", F.lit(0.5))).cast("bigint").alias("v"))
+    return red.median(NdArray.from_table(tab(spark, sf, "part"), ["p_partkey"], "p_size")).select(F.col("v").cast("bigint").alias("v"))
+
+
+@q(f"select 0::bigint as i0, 0::bigint as i1, round(quantile_cont(v, 0.3), 6) as v from {EM}")
+def quantile_all_keepdims(spark, sf):
+    return red.quantile(emb(spark, sf), 0.3, None, True).select("i0", "i1", r4("v", places=6))
+
+
+@q("select round(quantile_cont(o_totalprice, 0.9), 3) as v from orders")
+def quantile_of_prices(spark, sf):
+    return red.quantile(orders(spark, sf), 0.9).select(r4("v", places=3))
 
 
 @q("select c_custkey, coalesce((select min(o_orderkey) from orders where o_custkey = c_custkey), -1) as v from customer")

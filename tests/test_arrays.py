@@ -248,3 +248,19 @@ def test_walks_and_minimum():
     assert sel.local_maxloc(z, (0, 8)) == (6, 2) and sel.local_max(z, (0, 8)) == 0
     g = np.indices((3, 3)) - 1.0
     assert np.allclose(sel.getmin9((g[0] - 0.2) ** 2 + (g[1] + 0.1) ** 2), (0.2, -0.1))
+
+
+def test_quantile_of_all_cells_and_running_histogram_in_tiles(spark, monkeypatch):
+    x = np.r_[np.full(300, 7.5), np.random.RandomState(3).randn(200) * 10]
+    a = NdArray(spark.createDataFrame([(k, float(v)) for k, v in enumerate(x)] + [(500, None)], "i0 bigint, v double"), (501,))
+    for order in (0.0, 0.1, 0.37, 0.5, 1.0):
+        assert np.isclose(red.quantile(a, order).first()["v"], np.quantile(x, order))
+    assert np.isclose(red.median(a, 0, True).first()["v"], 7.5) and red.median(a, 0, True).columns == ["i0", "v"]
+    empty = NdArray(a.df.where("false"), (0,))
+    assert red.median(empty).collect()[0]["v"] is None
+    ints = spark.createDataFrame([(k, k % 50) for k in range(400)], "i0 bigint, v int")
+    assert red.quantile(NdArray(ints, (400,)), 0.5).first()["v"] == 24
+    monkeypatch.setattr(red, "TILE", 7)
+    got = [r["v"] for r in red.histr(ints, F.col("v") + 3).orderBy("i0").collect()]
+    assert np.allclose(got, np.cumsum(np.bincount(np.arange(400) % 50 + 3)) / 400)
+    assert red.histr(ints.where("false"), F.col("v")).collect() == []
