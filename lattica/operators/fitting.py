@@ -9,11 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lattica.ndarray import NdArray
+from lattica.plans.lineage import cut
 
 
 def lsq(df: DataFrame, y: Column, terms: Sequence[Column], weight: Column | None = None) -> dict:
@@ -66,18 +67,34 @@ def detrend(a: NdArray, order: int = 1) -> NdArray:
 def polate(table: DataFrame, x: str, y: str, points: DataFrame, at: str) -> DataFrame:
     """`points` with v: y of the piecewise linear table at each point, beyond the ends by the end pieces.
 
-    Points and table are put in order together; a point sees the pieces on its two sides.
+    Points and table are put in order together, in ranges; a point takes the knots on its two sides from its range, or
+    else the nearest of the ranges before and after.  Points that are null or NaN, and all if the table has fewer than
+    two knots, are left out; between knots of the same x v is null.
     """
-    t = table.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    w = W.orderBy("x")
-    pieces = t.withColumns({"x2": F.lead("x").over(w), "y2": F.lead("y").over(w), "n": F.row_number().over(w)})
-    last = pieces.agg(F.max(F.when(F.col("x2").isNotNull(), F.col("n")))).first()[0]
-    pieces = pieces.where(F.col("x2").isNotNull()).withColumns({"lo": F.when(F.col("n") == 1, float("-inf")).otherwise(F.col("x")), "hi": F.when(F.col("n") == last, float("inf")).otherwise(F.col("x2"))})
-    p = points.withColumn("__p", F.col(at).cast("double"))
-    v = F.col("y") + (F.col("__p") - F.col("x")) * (F.col("y2") - F.col("y")) / (F.col("x2") - F.col("x"))
-    small = pieces.count() <= 100_000
-    joined = p.join(F.broadcast(pieces) if small else pieces, (F.col("__p") >= F.col("lo")) & (F.col("__p") < F.col("hi")))
-    return joined.withColumn("v", v).drop("__p", "x", "y", "x2", "y2", "n", "lo", "hi")
+    knot = F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    knots = table.where(F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double"))).select(knot.alias("k"))
+    low, high = knots.orderBy("k").limit(2).collect(), knots.orderBy(F.desc("k")).limit(2).collect()[::-1]
+    point = F.struct(*points.columns)
+    spots = points.select(F.col(at).cast("double").alias("x"), F.lit(1).alias("side"), F.xxhash64(point).cast("double").alias("tie"), F.lit(None).cast("struct<x:double,y:double>").alias("k"), point.alias("point"))
+    spots = spots.where(F.col("x").isNotNull() & ~F.isnan("x"))
+    order = ["x", "side", "tie"]
+    both = knots.select(F.col("k.x").alias("x"), F.lit(0).alias("side"), F.col("k.y").alias("tie"), "k").unionByName(spots, allowMissingColumns=True)
+    ranged = cut(both.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    up, down = W.partitionBy("part").orderBy(*order), W.partitionBy("part").orderBy(*map(F.desc, order))
+    # A row for each range: the last knot before it and the first after it.
+    ends = ranged.groupBy("part").agg(F.min("k").alias("first"), F.max("k").alias("last"))
+    before = F.max("last").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    after = F.min("first").over(W.orderBy(F.desc("part")).rowsBetween(W.unboundedPreceding, -1))
+    ends = ends.select("part", before.alias("before"), after.alias("after"))
+    placed = ranged.withColumns({"a": F.last("k", True).over(up.rowsBetween(W.unboundedPreceding, 0)), "b": F.last("k", True).over(down.rowsBetween(W.unboundedPreceding, 0))}).where("side = 1").join(F.broadcast(ends), "part")
+    placed = placed.select("point", "x", F.coalesce("a", "before").alias("a"), F.coalesce("b", "after").alias("b"))
+    if len(low) < 2:
+        placed, low, high = placed.where("false"), [Row(k=Row(x=0.0, y=0.0))] * 2, [Row(k=Row(x=0.0, y=0.0))] * 2
+    fixed = lambda r: F.struct(F.lit(r["k"]["x"]).cast("double").alias("x"), F.lit(r["k"]["y"]).cast("double").alias("y"))
+    of = lambda k, name: F.when(F.col("a").isNull(), fixed(low[k])).when(F.col("b").isNull(), fixed(high[k])).otherwise(F.col(name))
+    placed = placed.select("point", "x", of(0, "a").alias("a"), of(1, "b").alias("b"))
+    rise = F.try_divide((F.col("x") - F.col("a.x")) * (F.col("b.y") - F.col("a.y")), F.col("b.x") - F.col("a.x"))
+    return placed.select("point.*", (F.col("a.y") + rise).alias("v"))
 
 
 def spline(x: np.ndarray, y: np.ndarray, periodic: bool = False) -> tuple[np.ndarray, np.ndarray]:

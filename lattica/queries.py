@@ -531,11 +531,11 @@ def detrended(spark, sf):
     return out(fit.detrend(ev(spark, sf), 1))
 
 
-@q("""with t as (select n_nationkey * 400.0 as x, n_regionkey * 10.0 + n_nationkey as y from nation), p as (select x, y, lead(x) over (order by x) as x2, lead(y) over (order by x) as y2 from t)
-select p_partkey, round(y + (p_retailprice - x) * (y2 - y) / (x2 - x), 5) as v from part join p on p_retailprice >= x and p_retailprice < x2 where p_retailprice < 9600""")
+@q("""with t as (select n_nationkey * 400.0 as x, n_regionkey * 10.0 + n_nationkey as y from nation), p as (select x, y, lead(x) over w as x2, lead(y) over w as y2, row_number() over w as n, count(*) over () as c from t window w as (order by x))
+select p_partkey, round(y + (p_retailprice - x) * (y2 - y) / (x2 - x), 5) as v from part join p on x2 is not null and (p_retailprice >= x or n = 1) and (p_retailprice < x2 or n = c - 1)""")
 def interpolated(spark, sf):
     t = tab(spark, sf, "nation").select((F.col("n_nationkey") * 400.0).alias("x"), (F.col("n_regionkey") * 10.0 + F.col("n_nationkey")).alias("y"))
-    p = tab(spark, sf, "part").where("p_retailprice < 9600").select("p_partkey", "p_retailprice")
+    p = tab(spark, sf, "part").select("p_partkey", "p_retailprice")
     return fit.polate(t, "x", "y", p, "p_retailprice").select("p_partkey", r4("v", places=5))
 
 

@@ -207,6 +207,14 @@ def test_polynomials_and_polate(spark, line):
     table = spark.createDataFrame([(0.0, 0.0), (1.0, 10.0), (3.0, 0.0)], "x double, y double")
     points = spark.createDataFrame([(-1.0,), (0.5,), (2.0,), (4.0,)], "p double")
     assert {r["p"]: r["v"] for r in fit.polate(table, "x", "y", points, "p").collect()} == {-1.0: -10.0, 0.5: 5.0, 2.0: 5.0, 4.0: -5.0}
+    r = np.random.RandomState(8)
+    kx, ky, at = np.sort(r.rand(60)), r.randn(60), np.r_[r.rand(300) * 1.4 - 0.2, np.full(40, 0.5)]
+    many = spark.createDataFrame([(float(p), k) for k, p in enumerate(at)] + [(None, -1), (float("nan"), -2)], "x double, part int")
+    got = {g["part"]: g["v"] for g in fit.polate(spark.createDataFrame(list(zip(kx.tolist(), ky.tolist(), strict=True)), "x double, y double"), "x", "y", many, "x").collect()}
+    piece = np.clip(np.searchsorted(kx, at, "right") - 1, 0, 58)
+    want = ky[piece] + (at - kx[piece]) * (ky[piece + 1] - ky[piece]) / (kx[piece + 1] - kx[piece])
+    assert len(got) == len(at) and np.allclose([got[k] for k in range(len(at))], want)
+    assert fit.polate(table.limit(1), "x", "y", points, "p").collect() == [] and fit.polate(table.where("false"), "x", "y", points, "p").collect() == []
 
 
 def test_spectra(line):
