@@ -13,6 +13,8 @@ from lattica.ndarray import TILE, NdArray
 from lattica.plans.lineage import cut
 
 NAN = float("nan")
+#: Cells of the second array of `outer` in a row, and the parts that the first one is dealt to where there are more.
+OUTER_CELLS, OUTER_PARTS = 65_536, 64
 
 
 def _nan(v: Column) -> Column:
@@ -264,9 +266,17 @@ def mproduct(a: NdArray, b: NdArray) -> NdArray:
 
 
 def outer(a: NdArray, b: NdArray) -> NdArray:
-    """Products of each pair of cells of two 1-D arrays; b must be short (it becomes one array column)."""
-    row = b.df.agg(F.sort_array(F.collect_list(F.struct("i0", "v"))).alias("r"))
-    out = a.df.join(F.broadcast(row)).select("i0", F.col("v").alias("x"), F.explode("r").alias("e"))
-    return NdArray(out.select("i0", F.col("e.i0").alias("i1"), (F.col("x") * F.col("e.v")).alias("v")), (a.dims[0], b.dims[0]))
-
+    """Products of each pair of cells of two 1-D arrays.
 
+    b is cut to rows of OUTER_CELLS cells.  One such row is broadcast; more are dealt to parts by cells of a, so that
+    neither a part of a nor one of b is a task of its own.
+    """
+    rows = b.df.groupBy(F.floor(F.col("i0") / OUTER_CELLS).alias("__row")).agg(F.sort_array(F.collect_list(F.struct("i0", "v"))).alias("r"))
+    n = -(-b.dims[0] // OUTER_CELLS)
+    if n <= 1:
+        out = a.df.withColumn("__row", F.lit(0).cast("bigint")).join(F.broadcast(rows), "__row")
+    else:
+        left = a.df.withColumn("__part", F.pmod(F.xxhash64("i0"), F.lit(OUTER_PARTS))).withColumn("__row", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))))
+        out = left.join(rows.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(OUTER_PARTS - 1).cast("bigint")))), ["__row", "__part"])
+    out = out.select("i0", F.col("v").alias("x"), F.explode("r").alias("e"))
+    return NdArray(out.select("i0", F.col("e.i0").alias("i1"), (F.col("x") * F.col("e.v")).alias("v")), (a.dims[0], b.dims[0]))

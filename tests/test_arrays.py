@@ -272,3 +272,11 @@ def test_quantile_of_all_cells_and_running_histogram_in_tiles(spark, monkeypatch
     got = [r["v"] for r in red.histr(ints, F.col("v") + 3).orderBy("i0").collect()]
     assert np.allclose(got, np.cumsum(np.bincount(np.arange(400) % 50 + 3)) / 400)
     assert red.histr(ints.where("false"), F.col("v")).collect() == []
+
+
+def test_outer_in_rows(spark, monkeypatch):
+    x, y = np.arange(1.0, 12), np.arange(3.0, 20)
+    a, b = (NdArray(spark.createDataFrame([(k, float(v)) for k, v in enumerate(z)], "i0 bigint, v double"), (len(z),)) for z in (x, y))
+    assert np.array_equal(red.outer(a, b).numpy(), np.outer(x, y))
+    monkeypatch.setattr(red, "OUTER_CELLS", 5)
+    assert red.outer(a, b).df.count() == len(x) * len(y) and np.array_equal(red.outer(a, b).numpy(), np.outer(x, y))
