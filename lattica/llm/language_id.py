@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lattica.llm.common import apart, map_texts, remainder, table
+from lattica.llm.common import _BASE, apart, map_texts, mix64, remainder, table
 
 #: Hashed features, words of each language's lexicon, and entries of a worker's table of words.
 FEATURES, LEXICON, TABLE_SIZE = 1 << 17, 300, 500_000
@@ -34,15 +33,45 @@ def _core(word: str) -> str:
     return word[i:j].lower()
 
 
-def word_features(core: str, lexicon: dict[str, int]) -> list[int]:
-    """Hashed affixes of one to four characters, n-grams of two and three, the whole word and the lexicons it is in."""
-    c = f"^{core}$"
-    found = [f"p{core[:k]}" for k in range(1, min(4, len(core)) + 1)] + [f"s{core[-k:]}" for k in range(1, min(4, len(core)) + 1)]
-    found += [c[i : i + 2] for i in range(len(c) - 1)] + [c[i : i + 3] for i in range(len(c) - 2)]
-    found.append(f"w{core}")
-    if core in lexicon:
-        found.append(f"l{lexicon[core]}")
-    return [zlib.crc32(x.encode()) % FEATURES for x in found]
+def word_features(cores: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features of all words end to end, and the place of each word's first one.
+
+    A word has affixes of one to four characters, n-grams of two and three with its two ends marked, the whole word
+    and the lexicon that it is in.
+    """
+    n = len(cores)
+    size = np.fromiter(map(len, cores), np.int64, n) + 2
+    start = np.cumsum(size) - size
+    c = np.frombuffer("".join([f"^{x}$" for x in cores]).encode("utf-32-le"), "<u4").astype(np.uint64) + np.uint64(1)
+    word = np.repeat(np.arange(n), size)
+    place = np.arange(len(c)) - start[word]
+    grams = [c]  # hashes of the 1 to 4 characters from each place on
+    for k in range(1, 4):
+        grams.append(np.concatenate([grams[-1][: len(c) - k] * _BASE + c[k:], np.zeros(k, np.uint64)]))
+    power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(int(size.max()), _BASE)]))
+    inside = size - 2
+    affixes = np.minimum(4, inside)
+    listed = np.fromiter((lexicon.get(x, -1) for x in cores), np.int64, n)
+    count = 2 * affixes + (size - 1) + (size - 2) + 1 + (listed >= 0)
+    first = np.cumsum(count) - count
+    out = np.empty(int(count.sum()), np.int64)
+
+    def put(at: np.ndarray, kind: int, h: np.ndarray) -> None:
+        out[at] = mix64(h * _BASE + np.uint64(kind)) % np.uint64(FEATURES)
+
+    for k in range(1, 5):
+        w = np.flatnonzero(inside >= k)
+        put(first[w] + k - 1, k, grams[k - 1][start[w] + 1])
+        put(first[w] + affixes[w] + k - 1, 4 + k, grams[k - 1][start[w] + size[w] - 1 - k])
+    at = first + 2 * affixes
+    for k, kind in ((2, 9), (3, 10)):
+        i = np.flatnonzero(place <= size[word] - k)
+        put(at[word[i]] + place[i], kind, grams[k - 1][i])
+        at = at + size - k + 1
+    put(at, 11, np.add.reduceat(c * power[place], start))
+    w = np.flatnonzero(listed >= 0)
+    put(at[w] + 1, 12, listed[w].astype(np.uint64))
+    return out, first
 
 
 @dataclass
@@ -56,10 +85,8 @@ class Crf:
     lexicon: dict[str, int]
 
     def emissions(self, cores: list[str]) -> np.ndarray:
-        feats = [word_features(c, self.lexicon) for c in cores]
-        at = np.cumsum([0, *map(len, feats)])[:-1]
-        flat = np.fromiter((i for f in feats for i in f), np.int64)
-        return np.add.reduceat(self.emit[flat], at, axis=0)
+        flat, first = word_features(cores, self.lexicon)
+        return np.add.reduceat(self.emit[flat], first, axis=0)
 
 
 def _carried(e: np.ndarray, first: np.ndarray, length: np.ndarray, seq: np.ndarray, t: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,14 +98,16 @@ def _carried(e: np.ndarray, first: np.ndarray, length: np.ndarray, seq: np.ndarr
     ahead, back = np.ones((n, k)), np.ones((n, k))
     f, b = np.broadcast_to(np.eye(k), (n, k, k)).copy(), np.broadcast_to(np.eye(k), (n, k, k)).copy()
     starts = np.r_[True, seq[1:] != seq[:-1]]
-    if not starts.all():
-        for p in range(int(length.max())):
-            on = np.flatnonzero(length > p)
-            w = e[first[on] + p][:, None, :]
-            f[on] = (f[on] * w) @ t
-            b[on] = (b[on] @ t) * w
-            f[on] /= f[on].max(axis=(1, 2), keepdims=True)
-            b[on] /= b[on].max(axis=(1, 2), keepdims=True)
+    for x, of in ((f, np.r_[~starts[1:], False]), (b, ~starts)):  # all but a sequence's last piece, and all but its first
+        which = np.flatnonzero(of)
+        which = which[np.argsort(-length[which], kind="stable")]
+        y, ends = x[which], length[which]
+        for p in range(int(ends[0]) if len(which) else 0):
+            j = int(np.searchsorted(-ends, -p, "left"))  # pieces longer than this place
+            w = e[first[which[:j]] + p][:, None, :]
+            y[:j] = (y[:j] * w) @ t if x is f else (y[:j] @ t) * w
+            y[:j] /= y[:j].max(axis=(1, 2), keepdims=True)
+        x[which] = y
     for i in range(n):
         v = s if starts[i] else ahead[i - 1] @ f[i - 1]
         ahead[i] = v / v.sum()
@@ -183,7 +212,8 @@ def _learn(model: Crf, seqs: list[list[str]], y: np.ndarray, epochs: int, rng: n
     """Adam steps on the likelihood of sequences of one length with labels `y`; only transitions and start, where asked."""
     names, sequences = model.labels, len(seqs)
     vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for s in seqs for w in s))}
-    feats = [np.array(word_features(w, model.lexicon)) for w in vocabulary]
+    features, first = word_features(list(vocabulary), model.lexicon)
+    feats = np.split(features, first[1:])
     x = np.array([[vocabulary[w] for w in s] for s in seqs])
     m, v, step = {}, {}, 0
     for _ in range(epochs):

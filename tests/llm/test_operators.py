@@ -883,3 +883,21 @@ def test_columns_of_any_name_come_back(spark):
         assert got == {k: tuple(x for n, x in zip(names, v, strict=True) if n != "ids") for k, v in want.items()}
     for rows in (mix_amounts(df), near_copies.near_copies(df), rule_ensemble.classify(df, labels), identify(df), host_rules(df), token_counts(df), encoding_digests(df), edited_fingerprints(df), score(df)):
         assert rows.count() == 12
+
+
+def test_word_features_are_those_of_each_word():
+    rng = np.random.RandomState(3)
+    words = ["a", "ab", "straße", "ελλάς", "𝒳y", "^$", "don't" * 30, "hello"]
+    words += ["".join(rng.choice(list("abcdé"), rng.randint(1, 12))) for _ in range(300)]
+    lexicon = {"hello": 2, "a": 0}
+    flat, first = language_id.word_features(words, lexicon)
+    seen = {}
+    for w, found in zip(words, np.split(flat, first[1:]), strict=True):
+        c, n = f"^{w}$", min(4, len(w))
+        names = [("first", w[:k]) for k in range(1, n + 1)] + [("last", w[-k:]) for k in range(1, n + 1)]
+        names += [("gram", c[i : i + k]) for k in (2, 3) for i in range(len(c) - k + 1)] + [("word", w)]
+        names += [("lexicon", lexicon[w])] if w in lexicon else []
+        assert len(names) == len(found)
+        for name, h in zip(names, found, strict=True):
+            assert seen.setdefault(name, h) == h
+    assert len(set(seen.values())) > 0.98 * len(seen)
