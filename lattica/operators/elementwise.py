@@ -30,16 +30,17 @@ def mul(a: Column, b: Column) -> Column:
 
 def idiv(a: Column, b: Column) -> Column:
     """Truncating quotient of whole numbers; null where b is 0."""
-    return F.when(b != 0, F.expr("1") * ((a - (a % b)) / b).cast("bigint"))
+    return F.when(b != 0, F.call_function("div", a.cast("bigint"), b.cast("bigint")))
 
 
 def div(a: Column, b: Column, whole: bool = False) -> Column:
     return idiv(a, b) if whole else F.try_divide(a, b)
 
 
-def fdiv(a: Column, b: Column) -> Column:
-    """Floor of the quotient."""
-    return F.when(b != 0, F.floor((a - fmod(a, b)) / b))
+def fdiv(a: Column, b: Column, whole: bool = False) -> Column:
+    """Floor of the quotient; of `whole` numbers exact at any size."""
+    rest = a - fmod(a, b)
+    return idiv(rest, b) if whole else F.when(b != 0, F.floor(rest / b))
 
 
 def fmod(a: Column, b: Column) -> Column:
@@ -56,13 +57,13 @@ def smod(a: Column, b: Column) -> Column:
 
 def sdiv(a: Column, b: Column) -> Column:
     """The quotient that goes with `smod`."""
-    return F.when(b != 0, F.round((a - smod(a, b)) / b).cast("bigint"))
+    return idiv(a - smod(a, b), b)
 
 
 def quotient_remainder(a: Column, b: Column) -> Column:
     """Struct (quot, rem) with a remainder of 0 or more."""
     rem = F.pmod(a, F.abs(b))
-    return F.struct(((a - rem) / b).cast("bigint").alias("quot"), rem.alias("rem"))
+    return F.struct(idiv(a - rem, b).alias("quot"), rem.alias("rem"))
 
 
 def power(a: Column, b: Column) -> Column:

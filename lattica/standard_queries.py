@@ -113,7 +113,7 @@ select o_orderkey, floor(a::double / b)::bigint as fdiv, (a - b * floor(a::doubl
 def whole_number_operators(spark, sf):
     a, b = (F.col("o_custkey") - 700), F.when(F.col("o_orderkey") % 3 == 0, -7).otherwise(7).cast("bigint")
     c = lambda x, n: x.cast("bigint").alias(n)
-    return tab(spark, sf, "orders").select("o_orderkey", c(el.fdiv(a, b), "fdiv"), c(el.fmod(a, b), "fmod"), c(el.sdiv(a, F.lit(7)), "sdiv"), c(el.eq(a, b), "eq"), c(el.ne(a, b), "ne"), c(el.ge(a, b), "ge"), c(el.lt(a, b), "lt"), c(el.le(a, b), "le"), c(el.andif(a, (b > 0).cast("int")), "andif"), c(el.orif((a == 0).cast("int"), (b > 0).cast("int")), "orif"))
+    return tab(spark, sf, "orders").select("o_orderkey", c(el.fdiv(a, b, whole=True), "fdiv"), c(el.fmod(a, b), "fmod"), c(el.sdiv(a, F.lit(7)), "sdiv"), c(el.eq(a, b), "eq"), c(el.ne(a, b), "ne"), c(el.ge(a, b), "ge"), c(el.lt(a, b), "lt"), c(el.le(a, b), "le"), c(el.andif(a, (b > 0).cast("int")), "andif"), c(el.orif((a == 0).cast("int"), (b > 0).cast("int")), "orif"))
 
 
 @q("""select l_orderkey, l_linenumber, round(acosh(1 + l_quantity) + asinh(l_tax) + atanh(l_discount) + cosh(l_discount) + sinh(l_tax) + tanh(l_discount) + ln(l_quantity) + log10(l_quantity) + (exp(l_tax) - 1) + ln(1 + l_discount), 5) as v, isnan(l_tax)::bigint as n from lineitem""")
@@ -147,3 +147,52 @@ def counted_quantities(spark, sf):
     path = rawarrays.scratch(spark)
     rawarrays.write_array(a, path, "int16")
     return rawarrays.file_array(spark, path, "int16", a.dims).df.groupBy(F.col("v").cast("bigint").alias("i0")).agg(F.count("*").alias("v"))
+
+
+@q("""with x as (select o_orderkey, 1500000 + (o_orderkey * 37) % 1000000 as j from orders), e as (select *, j + 32082 as c, j - 1448638 as n, j - 584283 as l from x),
+f as (select *, c - (1461 * ((4 * c + 3) // 1461)) // 4 as t, (4 * c + 3) // 1461 as k, n - 365 * floor(n / 365.0)::bigint as r, date '1970-01-01' + (j - 2440588)::integer as g from e),
+h as (select *, (5 * t + 2) // 153 as w from f)
+select o_orderkey, (k - 4800 + w // 10)::bigint as jul_year, (w + 3 - 12 * (w // 10))::bigint as jul_month, (t - (153 * w + 2) // 5 + 1)::bigint as jul_day, (floor(n / 365.0) + 1)::bigint as egypt_year, (r // 30 + 1)::bigint as egypt_month, (r % 30 + 1)::bigint as egypt_day,
+(l // 144000)::bigint as baktun, (l // 7200 % 20)::bigint as katun, (l // 360 % 20)::bigint as tun, (l // 20 % 18)::bigint as uinal, (l % 20)::bigint as kin, year(g)::bigint as year, month(g)::bigint as month, day(g)::bigint as day,
+j::bigint as from_julian, j::bigint as from_egyptian, j::bigint as from_mayan, j::bigint as from_islamic, j::bigint as from_common from h""")
+def calendar_dates(spark, sf):
+    """Day numbers as dates of five calendars, and back."""
+    j = F.lit(1500000) + (F.col("o_orderkey") * 37) % 1000000
+    x = tab(spark, sf, "orders").select("o_orderkey", j.cast("bigint").alias("j"))
+    j = F.col("j")
+    x = x.select("o_orderkey", "j", dates.jdn_to_julian(j).alias("jul"), dates.jdn_to_egyptian(j).alias("egypt"), dates.jdn_to_mayan(j).alias("maya"), dates.jdn_to_islamic(j).alias("islam"), dates.jdn_to_gregorian(j).alias("greg"))
+    ymd = lambda name: [F.col(f"{name}.{k}") for k in ("year", "month", "day")]
+    long_count = [F.col(f"maya.{k}") for k in ("baktun", "katun", "tun", "uinal", "kin")]
+    common = F.when(j >= 2299161, dates.common_to_jdn(*ymd("greg"))).otherwise(dates.common_to_jdn(*ymd("jul")))
+    back = {"julian": dates.julian_to_jdn(*ymd("jul")), "egyptian": dates.egyptian_to_jdn(*ymd("egypt")), "mayan": dates.mayan_to_jdn(*long_count), "islamic": dates.islamic_to_jdn(*ymd("islam")), "common": common}
+    parts = [c.cast("bigint").alias(f"{n}_{k}") for n in ("jul", "egypt") for c, k in zip(ymd(n), ("year", "month", "day"), strict=True)]
+    names = ("baktun", "katun", "tun", "uinal", "kin", "year", "month", "day")
+    parts += [c.cast("bigint").alias(n) for c, n in zip((*long_count, *ymd("greg")), names, strict=True)]
+    return x.select("o_orderkey", *parts, *(c.cast("bigint").alias(f"from_{n}") for n, c in back.items()))
+
+
+_LEAPS = " + ".join(f"(ts >= timestamp '{d} 00:00:00')::bigint" for d in dates.LEAP_DAYS)
+
+
+@q(f"""with x as (select o_orderkey, o_orderdate::timestamp + to_hours((o_orderkey % 24)::integer) as ts from orders), y as (select *, 9 + {_LEAPS} as leap from x)
+select o_orderkey, round(epoch(ts) / 86400.0 + 2440588, 6) as cjd, epoch(ts)::bigint as from_jd, (epoch(ts) - epoch(timestamp '1977-01-01 00:00:00') + leap - 15)::bigint as tai, epoch(ts)::bigint as from_tai, leap::bigint as leap from y""")
+def atomic_time(spark, sf):
+    """Chronological Julian dates, leap seconds and seconds of atomic time, and the timestamps that they give back."""
+    ts = F.timestamp_micros(F.unix_micros(F.col("o_orderdate").cast("timestamp")) + F.col("o_orderkey") % 24 * 3_600_000_000)
+    second = lambda t, n: F.round(F.unix_micros(t) / 1e6).cast("bigint").alias(n)
+    x = tab(spark, sf, "orders").select("o_orderkey", ts.alias("ts"))
+    t, tai = F.col("ts"), dates.tai_from_date(F.col("ts"))
+    return x.select("o_orderkey", r4(dates.cjd(t), "cjd", 6), second(dates.timestamp_of_jd(dates.jd(t)), "from_jd"), tai.cast("bigint").alias("tai"), second(dates.date_from_tai(tai), "from_tai"), dates.leap_seconds(t).cast("bigint").alias("leap"))
+
+
+@q("""with x as (select l_orderkey, l_linenumber, l_partkey * 331 - 40000 as k, l_quantity as n, l_discount as d, case when l_linenumber = 3 then 'nan'::double else l_tax end as t from lineitem)
+select l_orderkey, l_linenumber, (k & 255)::bigint as byte, (case when k & 65535 >= 32768 then (k & 65535) - 65536 else k & 65535 end)::bigint as short, (((k & 255) << 8) | ((k >> 8) & 255))::bigint as swapped2,
+(((k & 255) << 24) | (((k >> 8) & 255) << 16) | (((k >> 16) & 255) << 8) | ((k >> 24) & 255))::bigint as swapped4, round(case when isnan(t) then 0.5 else t end, 4) as t, round(n + 2 * d, 4) as re, round(d - n, 4) as im, round(sqrt(n * n + d * d), 4) as size from x""")
+def byte_operators(spark, sf):
+    """Conversions to bytes and short whole numbers, bytes swapped, NaNs replaced, sums and sizes of complex numbers."""
+    k, n, d = F.col("l_partkey").cast("bigint") * 331 - 40000, F.col("l_quantity").cast("double"), F.col("l_discount").cast("double")
+    t = el.zero_nans(el.set_nan(F.col("l_tax").cast("double"), (F.col("l_linenumber") == 3).cast("int")), 0.5)
+    z = el.cadd(el.cplx(n, d), el.conjugate(el.cplx(2 * d, n)))
+    c = lambda x, name: x.cast("bigint").alias(name)
+    whole = [c(el.to_byte(k), "byte"), c(el.wrapped(k, 16), "short"), c(el.swab(k, 2), "swapped2"), c(el.swab(k, 4), "swapped4")]
+    return tab(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *whole, r4(t, "t"), r4(z["re"], "re"), r4(z["im"], "im"), r4(el.cabs(el.cplx(n, d)), "size"))

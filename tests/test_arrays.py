@@ -53,6 +53,18 @@ def test_division_by_zero_and_signs(spark):
     assert value(spark, el.idiv(F.lit(7), F.lit(0))) is None
     assert value(spark, el.smod(F.lit(-3), F.lit(7))) == -3
     assert value(spark, el.quotient_remainder(F.lit(-7), F.lit(2))) == (-4, 1)
+    assert value(spark, el.fdiv(F.lit(-7.5), F.lit(2.0))) == -4
+
+
+@pytest.mark.parametrize("b", [1, 7, -3])
+def test_quotients_of_large_whole_numbers(spark, b):
+    for a in (2**60 + 1, -(2**60) - 1, 2**53 + 3):
+        x, y = F.lit(a).cast("bigint"), F.lit(b).cast("bigint")
+        assert value(spark, el.idiv(x, y)) == (abs(a) // abs(b)) * (1 if (a < 0) == (b < 0) else -1)
+        assert value(spark, el.fdiv(x, y, whole=True)) == a // b
+        assert value(spark, el.quotient_remainder(x, y)) == ((a - a % abs(b)) // b, a % abs(b))
+        if b > 0:
+            assert value(spark, el.sdiv(x, y) * y + el.smod(x, y)) == a
 
 
 def test_nan_rules(spark):
