@@ -701,6 +701,22 @@ def test_class_lm(spark, docs, empty, monkeypatch, held, core):
     assert score(empty).count() == 0
 
 
+@pytest.mark.parametrize("held", [0, 300])
+def test_words_beyond_those_held_keep_their_classes(spark, docs, monkeypatch, held):
+    """The model and every row's score are the same whatever part of the words workers hold."""
+    monkeypatch.setattr(class_lm, "CORE_WORDS", 50)
+    train = docs.where("doc_id is null or pmod(crc32(cast(doc_id as string)), 7) <> 2")
+    whole, _ = class_lm.fit(train, "text")
+    want = sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in score(docs).collect())
+    monkeypatch.setattr(class_lm, "HELD_WORDS", held)
+    part, _ = class_lm.fit(train, "text")
+    assert len(part.hashes) <= max(held, 50) < len(whole.hashes)
+    assert np.allclose(part.move, whole.move) and np.allclose(part.log_class, whole.log_class)
+    got = sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in score(docs).collect())
+    for a, b in zip(got, want, strict=True):
+        assert a[:3] == b[:3] and a[3:] == pytest.approx(b[3:], abs=1e-5)
+
+
 def test_class_lm_is_a_distribution(spark):
     df = spark.createDataFrame([(i, " ".join(rng.choice(["red", "blue", "cat", "dog", "x1", "y2"]) for _ in range(6)) + f" u{i}") for i in range(80)], "doc_id bigint, text string")
     model, counts = class_lm.fit(df, "text")
