@@ -322,7 +322,8 @@ def _in_groups(rows: DataFrame, fn: Callable, schema: str) -> DataFrame:
 def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """For every row: id, h1, h2, class_id, n_links, and first: (id, h1, h2) of the class's first row.
 
-    A text (rows of one shingle set) is a node, numbered when the texts are written.
+    A text (rows of one shingle set) is a node, numbered when the texts are written.  Written to the checkpoint
+    folder is what is read again, and the members of buckets, so that the shuffles of all bands can go.
     """
     rows = checkpointed(signatures(docs, id_col, text_col))
     first = F.min(F.struct(_order_id(F.col("id")).alias("id"), "h1", "h2")).alias("first")
@@ -343,9 +344,10 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     # Texts of what is still alive, one for each node, whichever rows hold it.
     needed = texts.join(alive.select("node").distinct(), "node").select("node", "rows", "sig", "shingles", "first.id", "first.h1", "first.h2")
     sources = docs.select(_order_id(F.col(id_col)).alias("id"), *_text_hashes(F.col(text_col)), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    whole = checkpointed(sources.join(needed, ["id", "h1", "h2"]).groupBy("node").agg(*(F.first(c).alias(c) for c in ("rows", "sig", "shingles", "text"))))
-    found = checkpointed(_in_groups(alive.join(whole, "node").select(*_GROUP, "block", "node", "rows", "sig", "shingles", "text"), _links, "a bigint, b bigint, n bigint"))
-    links = found.where("n > 0").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
+    whole = sources.join(needed, ["id", "h1", "h2"]).groupBy("node").agg(*(F.first(c).alias(c) for c in ("rows", "sig", "shingles", "text")))
+    found = _in_groups(alive.join(whole, "node").select(*_GROUP, "block", "node", "rows", "sig", "shingles", "text"), _links, "a bigint, b bigint, n bigint")
+    found = checkpointed(found.groupBy("a", "b").agg(F.sum("n").alias("n")))
+    links = found.where("n > 0").select(F.col("a").alias("node"), F.col("n").alias("links"))
     joined = components(found.where("n = 0"))
     known = texts.select("set", "node", "rows", "first").join(links, "node", "left").join(joined, "node", "left")
     known = checkpointed(known.withColumn("root", F.coalesce("root", "node")))

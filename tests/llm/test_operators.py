@@ -545,6 +545,20 @@ def test_near_copies_with_null_ids(spark):
     assert near_copies.drop_near_copies(df).count() == 1
 
 
+def test_near_copies_write_no_texts_and_each_link_once(spark, monkeypatch):
+    written, write = [], near_copies.checkpointed
+    monkeypatch.setattr(near_copies, "checkpointed", lambda df: written.append(write(df)) or written[-1])
+    base, rows = prose("aa", 150).split(), []
+    for k in range(40):
+        base[(k * 3) % 150] = f"w{k}"
+        rows.append((k, " ".join(base)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert whole(near_copies.near_copies(df)) == plain_classes(rows)
+    assert not [d.columns for d in written if "text" in d.columns]
+    found = [d for d in written if d.columns == ["a", "b", "n"]]
+    assert [d.count() for d in found] == [d.select("a", "b").distinct().count() for d in found] and found[0].count() > 40
+
+
 def test_recall_over_ten_thousand_texts(spark):
     """Near copies of all degrees against an exact count by an index of shingles."""
     r = random.Random(11)
