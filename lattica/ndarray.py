@@ -6,15 +6,19 @@ a tile needs from its neighbours, so that one long axis is not one task.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from lattica.plans.lineage import cut
 
@@ -149,22 +153,73 @@ def prefix(a: NdArray, axis: int, fold: Callable[[Column], Column], join: Callab
     return NdArray(out.select(*a.axes, F.when(F.col("__before").isNull(), F.col("__r")).otherwise(join(F.col("__before"), F.col("__r"))).alias("v")), a.dims)
 
 
-def along_axis(a: NdArray, axis: int, kernel: Callable[[np.ndarray], np.ndarray], length: int | None = None, dtype: str = "double") -> NdArray:
-    """kernel(values along `axis`) for each line of the array; a line is one group, so it must fit a task.
+def along_lines(a: NdArray, axis: int, kernel: Callable[[np.ndarray, np.ndarray], Sequence[np.ndarray]], length: int | None = None, dtype: str = "double", fill: bool = False) -> NdArray:
+    """kernel(lines, at) for lines along `axis` that have equally many cells, a line in each row, `at` their other indices.
 
-    For kernels that no window can express (recursion, spectra, splines).
+    It gives a line for each.  Lines are dealt to parts of about TILE cells and read in order as they come, so that a
+    task holds a batch or one line.  With `fill`, lines have all places of the axis, 0 where there is no cell.
     """
     k = a.axis(axis)
-    i, others = a.axes[k], a.others(axis)
+    i, others, size = a.axes[k], a.others(axis), a.dims[k]
+    fields = StructType.fromDDL(", ".join([*(f"{c} bigint" for c in others), f"{i} bigint", f"v {dtype}"]))
+    schema = to_arrow_schema(fields)
+
+    def starts(t) -> np.ndarray:
+        """Rows, but the first, where a line begins."""
+        new = np.zeros(max(0, t.num_rows - 1), bool)
+        for c in others:
+            x, null = t.column(c).fill_null(0).to_numpy(zero_copy_only=False), t.column(c).is_null().to_numpy(zero_copy_only=False)
+            new |= (x[1:] != x[:-1]) | (null[1:] != null[:-1])
+        return np.flatnonzero(new) + 1
+
+    def results(pieces: list[pa.RecordBatch]):
+        t = pa.Table.from_batches(pieces).combine_chunks()
+        first = np.concatenate([[0], starts(t)])
+        sizes = np.diff(np.append(first, t.num_rows))
+        v, place = t.column("v").to_numpy(), t.column(i).to_numpy()
+        at = np.stack([t.column(c).fill_null(0).to_numpy()[first] for c in others], 1) if others else np.zeros((1, 0), np.int64)
+        if fill:
+            whole = np.zeros((len(first), size), v.dtype)
+            whole[np.repeat(np.arange(len(first)), sizes), place] = v
+            groups = [(np.arange(len(first)), whole)]
+        else:
+            groups = [(x := np.flatnonzero(sizes == n), v[first[x][:, None] + np.arange(n)]) for n in np.unique(sizes)]
+        for which, lines in groups:
+            out = kernel(lines, at[which])
+            n = np.array([len(x) for x in out])
+            row = pa.array(np.repeat(first[which], n))
+            index = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            values = pa.array(np.concatenate(list(out)), from_pandas=True).cast(schema.field("v").type)
+            yield pa.RecordBatch.from_arrays([*(t.column(c).combine_chunks().take(row).cast(pa.int64()) for c in others), pa.array(index, pa.int64()), values], schema=schema)
+
+    def run(batches: Iterable[pa.RecordBatch]):
+        held = []  # the line that may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = starts(batch)
+            if held and not len(new) and all(held[0].column(c)[0].as_py() == batch.column(c)[0].as_py() for c in others):
+                held.append(batch)
+                continue
+            last = int(new[-1]) if len(new) else 0
+            if held or last:
+                yield from results([*held, *([batch.slice(0, last)] if last else [])])
+            held = [batch.slice(last)]
+        if held:
+            yield from results(held)
+
+    parts = max(1, -(-math.prod(a.dims) // TILE)) if others else 1
+    df = a.df.select(*a.axes, "v").repartition(parts, *others).sortWithinPartitions(*others, F.col(i).asc_nulls_last())
+    dims = tuple(length if length is not None and d == k else n for d, n in enumerate(a.dims))
+    return NdArray(df.mapInArrow(run, fields).select(*a.axes, "v"), dims)
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(i)
-        out = np.asarray(kernel(frame["v"].to_numpy()))
-        return pd.DataFrame({**{c: np.repeat(frame[c].iloc[0], len(out)) for c in others}, i: np.arange(len(out)), "v": out})
 
-    schema = ", ".join([*(f"{c} bigint" for c in others), f"{i} bigint", f"v {dtype}"])
-    dims = tuple(length if length is not None and d == k else n for d, n in enumerate(a.dims))
-    return NdArray(a.df.groupBy(*others).applyInPandas(run, schema).select(*a.axes, "v"), dims)
+def along_axis(a: NdArray, axis: int, kernel: Callable[[np.ndarray], np.ndarray], length: int | None = None, dtype: str = "double") -> NdArray:
+    """kernel(values along `axis`) for each line of the array; a line must fit a task.
+
+    For kernels that no window can express (recursion, spectra, splines).
+    """
+    return along_lines(a, axis, lambda lines, at: [np.asarray(kernel(x)) for x in lines], length, dtype)
 
 
 def frames(a: NdArray, kernel: Callable[[np.ndarray], np.ndarray], dims: tuple[int, int] | None = None, dtype: str = "double") -> NdArray:

@@ -8,8 +8,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.ndarray import NdArray, frames
+from lattica.ndarray import NdArray, along_lines, frames
 from lattica.operators.reductions import equivalence
+from lattica.operators.spectral import cosines, cosines_inverse
 from lattica.plans.lineage import cut
 
 CROSS = ((1, 0), (-1, 0), (0, 1), (0, -1))
@@ -42,22 +43,23 @@ def laplace2d(a: NdArray) -> NdArray:
 
 
 def antilaplace2d(a: NdArray, rounds: int = 2000) -> NdArray:
-    """An image of mean 0 with the given Laplacian (edges repeat), by the cosine transform."""
-
-    def solve(b: np.ndarray) -> np.ndarray:
-        n, m = b.shape
-        grow = np.concatenate([b, b[::-1]], axis=0)
-        grow = np.concatenate([grow, grow[:, ::-1]], axis=1)
-        f = np.fft.fft2(grow)
-        x, y = np.meshgrid(2 * np.cos(np.pi * np.arange(2 * n) / n) - 2, 2 * np.cos(np.pi * np.arange(2 * m) / m) - 2, indexing="ij")
-        d = x + y
-        d[0, 0] = 1
-        f /= d
-        f[0, 0] = 0
-        out = np.fft.ifft2(f).real[:n, :m]
-        return out - out.mean()
-
-    return frames(a, solve)
+    """An image of mean 0 with the given Laplacian (edges repeat), by the cosine transform.
+
+    One axis is transformed after the other, so that a task holds lines and never a plane.
+    """
+    n, m = a.dims[:2]
+
+    def solve(b: np.ndarray, at: np.ndarray) -> np.ndarray:
+        d = 2 * np.cos(np.pi * np.arange(n) / n) - 2 + (2 * np.cos(np.pi * at[:, :1] / m) - 2)
+        mean = at[:, 0] == 0
+        d[mean, 0] = 1
+        f = cosines(b) / d
+        f[mean, 0] = 0
+        return cosines_inverse(f)
+
+    f = along_lines(a, 1, lambda x, at: cosines(x), fill=True)
+    f = along_lines(f, 0, solve, fill=True)
+    return along_lines(f, 1, lambda x, at: cosines_inverse(x), fill=True)
 
 
 def segment(a: NdArray, sign: int = 1) -> NdArray:

@@ -40,6 +40,20 @@ def fftb(a: NdArray, axis: int = 0) -> NdArray:
     return along_axis(a, axis, fft_real_inverse)
 
 
+def cosines(x: np.ndarray) -> np.ndarray:
+    """Cosine transform along the last axis of lines whose edges repeat."""
+    n = x.shape[-1]
+    turn = np.exp(-0.5j * np.pi * np.arange(n) / n)
+    return (np.fft.rfft(np.concatenate([x, x[..., ::-1]], axis=-1))[..., :n] * turn).real
+
+
+def cosines_inverse(c: np.ndarray) -> np.ndarray:
+    n = c.shape[-1]
+    f = np.zeros((*c.shape[:-1], n + 1), complex)
+    f[..., :n] = c * np.exp(0.5j * np.pi * np.arange(n) / n)
+    return np.fft.irfft(f, 2 * n)[..., :n]
+
+
 def sc(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sine and cosine series of a line."""
     c = np.fft.rfft(x) / len(x)

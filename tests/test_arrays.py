@@ -292,3 +292,27 @@ def test_outer_in_rows(spark, monkeypatch):
     assert np.array_equal(red.outer(a, b).numpy(), np.outer(x, y))
     monkeypatch.setattr(red, "OUTER_CELLS", 5)
     assert red.outer(a, b).df.count() == len(x) * len(y) and np.array_equal(red.outer(a, b).numpy(), np.outer(x, y))
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def small_batches(spark, rows):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
+def test_antilaplace_holds_lines_not_planes(spark, small_tiles):
+    x = np.random.RandomState(3).rand(23, 6)
+    a = NdArray.of(spark, x)
+    small_batches(spark, 5)
+    try:
+        out = im.antilaplace2d(im.laplace2d(a))
+        assert "SinglePartition" not in plan(out.df)
+        assert out.df.rdd.getNumPartitions() == -(-x.size // 8)
+        assert np.allclose(out.numpy(), x - x.mean(), atol=1e-8)
+        gaps = NdArray(a.df.where("i0 != 4 and not (i0 = 2 and i1 = 3)"), a.dims)
+        full = NdArray(a.df.withColumn("v", F.expr("case when i0 = 4 or (i0 = 2 and i1 = 3) then 0 else v end")), a.dims)
+        assert np.allclose(im.antilaplace2d(gaps).numpy(), im.antilaplace2d(full).numpy())
+    finally:
+        small_batches(spark, 10_000)
