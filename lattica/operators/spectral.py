@@ -4,40 +4,40 @@ from __future__ import annotations
 
 import numpy as np
 
-from lattica.ndarray import NdArray, along_axis
+from lattica.ndarray import NdArray, along_lines
 
 
 def fft_real(x: np.ndarray) -> np.ndarray:
-    """Real Fourier coefficients: mean, then cosine and sine of each frequency, and the last cosine for even sizes."""
-    n = len(x)
+    """Real Fourier coefficients along the last axis: mean, then cosine and sine of each frequency, and the last cosine for even sizes."""
+    n = x.shape[-1]
     c = np.fft.rfft(x) / n
-    out = np.empty(n)
-    out[0] = c[0].real
+    out = np.empty(x.shape)
+    out[..., 0] = c[..., 0].real
     k = np.arange(1, (n + 1) // 2)
-    out[2 * k - 1], out[2 * k] = 2 * c[k].real, -2 * c[k].imag
+    out[..., 2 * k - 1], out[..., 2 * k] = 2 * c[..., k].real, -2 * c[..., k].imag
     if n % 2 == 0:
-        out[-1] = c[-1].real
+        out[..., -1] = c[..., -1].real
     return out
 
 
 def fft_real_inverse(f: np.ndarray) -> np.ndarray:
-    n = len(f)
-    c = np.zeros(n // 2 + 1, complex)
-    c[0] = f[0]
+    n = f.shape[-1]
+    c = np.zeros((*f.shape[:-1], n // 2 + 1), complex)
+    c[..., 0] = f[..., 0]
     k = np.arange(1, (n + 1) // 2)
-    c[k] = (f[2 * k - 1] - 1j * f[2 * k]) / 2
+    c[..., k] = (f[..., 2 * k - 1] - 1j * f[..., 2 * k]) / 2
     if n % 2 == 0:
-        c[-1] = f[-1]
+        c[..., -1] = f[..., -1]
     return np.fft.irfft(c * n, n)
 
 
 def fft(a: NdArray, axis: int = 0) -> NdArray:
-    return along_axis(a, axis, fft_real)
+    return along_lines(a, axis, lambda x, at: fft_real(x))
 
 
 def fftb(a: NdArray, axis: int = 0) -> NdArray:
     """Inverse of `fft`."""
-    return along_axis(a, axis, fft_real_inverse)
+    return along_lines(a, axis, lambda x, at: fft_real_inverse(x))
 
 
 def cosines(x: np.ndarray) -> np.ndarray:
@@ -76,23 +76,23 @@ def scb(sine: np.ndarray, cosine: np.ndarray, n: int) -> np.ndarray:
 def power(a: NdArray, axis: int = 0) -> NdArray:
     """Power at each frequency, 0 first."""
     n = a.dims[a.axis(axis)]
-    return along_axis(a, axis, lambda x: np.abs(np.fft.rfft(x) / len(x)) ** 2 * np.concatenate([[1], np.full(len(x) // 2, 2.0)]), n // 2 + 1)
+    return along_lines(a, axis, lambda x, at: np.abs(np.fft.rfft(x) / x.shape[-1]) ** 2 * np.concatenate([[1], np.full(x.shape[-1] // 2, 2.0)]), n // 2 + 1)
 
 
 def fftshift(a: NdArray, by: float, axis: int = 0) -> NdArray:
     """Moved by a fraction of a cell, around the end."""
-    return along_axis(a, axis, lambda x: np.fft.irfft(np.fft.rfft(x) * np.exp(-2j * np.pi * np.arange(len(x) // 2 + 1) * by / len(x)), len(x)))
+    return along_lines(a, axis, lambda x, at: np.fft.irfft(np.fft.rfft(x) * np.exp(-2j * np.pi * np.arange(x.shape[-1] // 2 + 1) * by / x.shape[-1]), x.shape[-1]))
 
 
 def hilbert(a: NdArray, axis: int = 0) -> NdArray:
     """Every phase advanced by a quarter turn."""
-    return along_axis(a, axis, lambda x: np.fft.irfft(np.fft.rfft(x) * np.where(np.arange(len(x) // 2 + 1) > 0, 1j, 0), len(x)))
+    return along_lines(a, axis, lambda x, at: np.fft.irfft(np.fft.rfft(x) * np.where(np.arange(x.shape[-1] // 2 + 1) > 0, 1j, 0), x.shape[-1]))
 
 
 def fftexpand(a: NdArray, factor: float, axis: int = 0) -> NdArray:
     """Enlarged by Fourier interpolation."""
     n = round(a.dims[a.axis(axis)] * factor)
-    return along_axis(a, axis, lambda x: np.fft.irfft(np.fft.rfft(x), n) * (n / len(x)), n)
+    return along_lines(a, axis, lambda x, at: np.fft.irfft(np.fft.rfft(x), n) * (n / x.shape[-1]), n)
 
 
 def welch(x: np.ndarray, size: int, window: bool = True) -> np.ndarray:

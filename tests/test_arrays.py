@@ -316,3 +316,21 @@ def test_antilaplace_holds_lines_not_planes(spark, small_tiles):
         assert np.allclose(im.antilaplace2d(gaps).numpy(), im.antilaplace2d(full).numpy())
     finally:
         small_batches(spark, 10_000)
+
+
+def test_lines_are_read_in_batches(spark, small_tiles):
+    x = np.random.RandomState(4).rand(11, 6, 3)
+    a = NdArray.of(spark, x)
+    small_batches(spark, 7)
+    try:
+        for axis in range(3):
+            f = sp.fft(a, axis)
+            assert "FlatMapGroups" not in plan(f.df) and f.df.rdd.getNumPartitions() == -(-x.size // 8)
+            assert np.allclose(f.numpy(), np.apply_along_axis(sp.fft_real, axis, x))
+            assert np.allclose(sp.fftb(f, axis).numpy(), x)
+        ragged = NdArray(a.df.where("i2 = 0 and i1 < 2 + i0 % 3").select(F.when(F.col("i0") != 5, F.col("i0")).alias("i0"), "i1", F.when(F.col("i0") != 7, F.col("v")).alias("v")), (11, 6))
+        got = {r[0]: r[1] for r in nd.along_axis(ragged, 1, lambda v: [v.sum()], 1).df.select("i0", "v").collect()}
+        assert got.keys() == {None, *range(11)} - {5} and got.pop(7) is None
+        assert all(v == pytest.approx(x[5 if k is None else k, : 2 + (5 if k is None else k) % 3, 0].sum()) for k, v in got.items())
+    finally:
+        small_batches(spark, 10_000)
