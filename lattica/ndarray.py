@@ -237,6 +237,46 @@ def frames(a: NdArray, kernel: Callable[[np.ndarray], np.ndarray], dims: tuple[i
     return NdArray(a.df.groupBy(*others).applyInPandas(run, schema), (*(dims or shape), *a.dims[2:]))
 
 
+def patches(a: NdArray, reach: Sequence[tuple[int, int]], kernel: Callable[[np.ndarray, tuple[int, int], np.ndarray], np.ndarray], dtype: str = "double") -> NdArray:
+    """kernel(part, first, grid) for patches of about TILE cells of each plane of axes 0 and 1.
+
+    `grid` has the indices of the patch's cells (2, n, m), `part` the cells that they need, from `first` on: on each
+    axis those from reach[0] before to reach[1] after a cell, the edge standing for what lies past it.
+    """
+    others, dims = a.axes[2:], a.dims[:2]
+    width = max(1, min(dims[1], math.isqrt(TILE)))
+    sides = (max(1, TILE // width), width)
+    counts = [-(-d // s) for d, s in zip(dims, sides, strict=True)]
+
+    def needed_by(i: Column, n: int, size: int, count: int, lo: int, hi: int) -> Column:
+        """The patches that need index i."""
+        first = F.when(i == 0, 0).otherwise(F.greatest(F.lit(0), F.floor((i - hi) / size))).cast("bigint")
+        last = F.when(i == n - 1, count - 1).otherwise(F.least(F.lit(count - 1), F.floor((i - lo) / size))).cast("bigint")
+        return F.when(first <= last, F.sequence(first, last))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        start = [int(frame[c].iloc[0]) * s for c, s in zip(("__p0", "__p1"), sides, strict=True)]
+        stop = [min(x + s, d) for x, s, d in zip(start, sides, dims, strict=True)]
+        first = tuple(min(max(x + lo, 0), d - 1) for x, d, (lo, _) in zip(start, dims, reach, strict=True))
+        end = [min(max(x - 1 + hi, 0), d - 1) + 1 for x, d, (_, hi) in zip(stop, dims, reach, strict=True)]
+        cells = frame[frame["i0"] >= 0]
+        part = np.zeros([y - x for x, y in zip(first, end, strict=True)], frame["v"].dtype)
+        inside = ((cells["i0"] < end[0]) & (cells["i1"] < end[1])).to_numpy()  # the last patch may be cut
+        part[cells["i0"].to_numpy()[inside] - first[0], cells["i1"].to_numpy()[inside] - first[1]] = cells["v"].to_numpy()[inside]
+        grid = np.stack(np.meshgrid(*(np.arange(x, y) for x, y in zip(start, stop, strict=True)), indexing="ij"))
+        out = np.asarray(kernel(part, first, grid))
+        return pd.DataFrame({"i0": grid[0].ravel(), "i1": grid[1].ravel(), **{c: np.repeat(frame[c].iloc[0], out.size) for c in others}, "v": out.ravel()})
+
+    at = [needed_by(F.col(f"i{k}"), dims[k], sides[k], counts[k], *reach[k]).alias(f"__p{k}") for k in (0, 1)]
+    sent = a.df.select(*a.axes, "v", at[0], at[1]).withColumn("__p0", F.explode("__p0")).withColumn("__p1", F.explode("__p1"))
+    # A row for each patch, so that one without cells is there too.
+    planes = a.df.select(*others).distinct() if others else a.df.limit(1).select(F.lit(0).alias("__plane"))
+    every = planes.crossJoin(a.df.sparkSession.range(counts[0] * counts[1]))
+    every = every.select(F.lit(-1).cast("bigint").alias("i0"), F.lit(-1).cast("bigint").alias("i1"), *others, F.lit(0).cast(a.dtype).alias("v"), F.floor(F.col("id") / max(1, counts[1])).alias("__p0"), (F.col("id") % max(1, counts[1])).alias("__p1"))
+    schema = ", ".join([*(f"{c} bigint" for c in a.axes), f"v {dtype}"])
+    return NdArray(sent.union(every).groupBy(*others, "__p0", "__p1").applyInPandas(run, schema), a.dims)
+
+
 def with_row_index(df: DataFrame, order: Iterable[Column], name: str = "i0") -> DataFrame:
     """`df` with the rank of each row in `order` (from 0), without bringing all rows to one task.
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.ndarray import NdArray, along_lines, frames
+from lattica.ndarray import NdArray, along_lines, frames, patches
 from lattica.operators.reductions import equivalence
 from lattica.operators.spectral import cosines, cosines_inverse
 from lattica.plans.lineage import cut
@@ -182,10 +183,13 @@ def to_cartesian(a: NdArray, center: tuple[float, float], dims: tuple[int, int])
 # Kernels over whole planes.
 
 
-def _sample(image: np.ndarray, x: np.ndarray, y: np.ndarray, order: int) -> np.ndarray:
-    """Image at real coordinates: 0 nearest, 1 bilinear, 3 bicubic; edges repeat."""
-    n, m = image.shape
-    at = lambda p, q: image[np.clip(p, 0, n - 1), np.clip(q, 0, m - 1)].astype(float)
+def _sample(image: np.ndarray, x: np.ndarray, y: np.ndarray, order: int, dims: Sequence[int] | None = None, first: Sequence[int] = (0, 0)) -> np.ndarray:
+    """Image at real coordinates: 0 nearest, 1 bilinear, 3 bicubic; edges repeat.
+
+    With `dims`, it is the part of an image of these dimensions that begins at `first`.
+    """
+    n, m = dims or image.shape
+    at = lambda p, q: image[np.clip(p, 0, n - 1) - first[0], np.clip(q, 0, m - 1) - first[1]].astype(float)
     if order == 0:
         return at(np.rint(x).astype(int), np.rint(y).astype(int))
     i, j = np.floor(x).astype(int), np.floor(y).astype(int)
@@ -202,7 +206,9 @@ def _sample(image: np.ndarray, x: np.ndarray, y: np.ndarray, order: int) -> np.n
 
 def shift3(a: NdArray, dx: float, dy: float) -> NdArray:
     """Bicubic shift by parts of a cell."""
-    return frames(a, lambda z: _sample(z, *(g - d for g, d in zip(np.indices(z.shape), (dx, dy), strict=True)), 3))
+    dims = a.dims[:2]
+    reach = [(math.floor(-d) - 2, math.floor(-d) + 3) for d in (dx, dy)]  # a cell more each side than the four, for what rounding does
+    return patches(a, reach, lambda z, first, grid: _sample(z, *(g - d for g, d in zip(grid, (dx, dy), strict=True)), 3, dims, first))
 
 
 def regrid(a: NdArray, gx: np.ndarray, gy: np.ndarray, order: int = 1) -> NdArray:

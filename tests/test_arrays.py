@@ -334,3 +334,17 @@ def test_lines_are_read_in_batches(spark, small_tiles):
         assert all(v == pytest.approx(x[5 if k is None else k, : 2 + (5 if k is None else k) % 3, 0].sum()) for k, v in got.items())
     finally:
         small_batches(spark, 10_000)
+
+
+def test_shift3_holds_patches_not_planes(spark, small_tiles):
+    x = np.random.RandomState(5).rand(13, 7)
+    a = NdArray.of(spark, x)
+    for d in ((0.5, -0.25), (-4.0, 3.75), (40.0, -1e3)):
+        grid = [g - s for g, s in zip(np.indices(x.shape), d)]
+        out = im.shift3(a, *d)
+        assert "hashpartitioning(__p0" in plan(out.df)
+        assert (out.numpy() == im._sample(x, *grid, 3)).all() and out.df.count() == x.size
+    gaps = NdArray(a.df.where("i0 < 1 or i0 > 9"), a.dims)
+    y = np.where((np.arange(13) < 1) | (np.arange(13) > 9), 1, 0)[:, None] * x
+    assert (im.shift3(gaps, 0.5, -0.25).numpy() == im._sample(y, np.indices(x.shape)[0] - 0.5, np.indices(x.shape)[1] + 0.25, 3)).all()
+    assert im.shift3(gaps, 0.5, -0.25).df.count() == x.size
