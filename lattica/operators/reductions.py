@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,6 +17,8 @@ from lattica.plans.lineage import cut
 NAN = float("nan")
 #: Cells of the second array of `outer` in a row, and the parts that the first one is dealt to where there are more.
 OUTER_CELLS, OUTER_PARTS = 65_536, 64
+#: Pairs whose classes a task of `equivalence` finds in memory, and the roots of such classes that are broadcast, at most.
+PAIRS, BROADCAST_ROOTS = 2_000_000, 100_000
 
 
 def _nan(v: Column) -> Column:
@@ -225,14 +229,54 @@ def findspans(a: NdArray) -> DataFrame:
     return marked.where("end = 0").join(firsts, "tile", "left").select(F.col("i0").alias("start"), (F.coalesce("stop", "next") - F.col("i0") + 1).alias("length"))
 
 
-def equivalence(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root): the smallest member of each element's class, for whole numbers related in pairs.
+def _least(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers in the pairs (a, b), in order, and the smallest member of the class of each."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    up, x, y = np.arange(len(nodes)), at[: len(a)], at[len(a) :]
+    while True:
+        x, y = np.minimum(up[x], up[y]), np.maximum(up[x], up[y])
+        x, y = x[x < y], y[x < y]
+        if not len(x):
+            return nodes, nodes[up]
+        np.minimum.at(up, y, x)
+        while ((far := up[up]) != up).any():
+            up = far
+
+
+def _stars(links: DataFrame) -> DataFrame:
+    """(node, root) of the classes within the links (a, b) that a task meets together, at most PAIRS of them."""
+    most = PAIRS
+
+    def run(batches):
+        def rows(nodes, roots):
+            for k in range(0, len(nodes), 65_536):
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[k : k + 65_536]), pa.array(roots[k : k + 65_536])], names=["node", "root"])
+
+        a, b, n = [], [], 0
+        for batch in batches:
+            for k in range(0, batch.num_rows, most):
+                x, y = (batch.column(c).slice(k, most).to_numpy(zero_copy_only=False) for c in (0, 1))
+                a, b, n = [*a, x], [*b, y], n + len(x)
+                if n < most:
+                    continue
+                nodes, roots = _least(np.concatenate(a), np.concatenate(b))
+                a, b, n = [nodes], [roots], len(nodes)
+                if n > most // 2:
+                    yield from rows(nodes, roots)
+                    a, b, n = [], [], 0
+        if n:
+            yield from rows(*_least(np.concatenate(a), np.concatenate(b)))
+
+    return links.mapInArrow(run, "node bigint, root bigint")
+
+
+def _rounds(links: DataFrame) -> DataFrame:
+    """(node, root) of whole classes.
 
     Each round hooks every element's class to its smallest neighbour's and halves the paths; rounds are
     written to the shared checkpoint folder.
     """
-    both = pairs.select(F.col(a).alias("a"), F.col(b).alias("b"))
-    both = cut(both.union(both.select("b", "a")).dropDuplicates())
+    both = cut(links.union(links.select("b", "a")).dropDuplicates())
     label = cut(both.select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node")))
     while True:
         near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("m"))
@@ -245,6 +289,37 @@ def equivalence(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return label
 
 
+def _classes(stars: DataFrame, before: int | None = None) -> DataFrame:
+    """(node, root) of whole classes from those of parts: a node joins its least root, its roots are linked in turn."""
+    w = W.partitionBy("node").orderBy("root")
+    met = cut(stars.select("node", "root", F.first("root").over(w).alias("least"), F.row_number().over(w).alias("k")))
+    own = met.where("k = 1").select("node", "least")
+    rest = cut(_stars(met.where("root != least").select("least", "root")))
+    n = rest.count()
+    if not n:
+        return own.withColumnRenamed("least", "root")
+    if n <= PAIRS // 2:
+        tops = _stars(rest.coalesce(1))
+    elif before is None or n <= before // 2:
+        tops = _classes(rest, n)
+    else:  # the parts have little in common
+        tops = _rounds(rest.toDF("a", "b"))
+    tops = tops.toDF("least", "top")
+    out = own.join(F.broadcast(tops) if n <= BROADCAST_ROOTS else tops, "least", "left")
+    return out.select("node", F.coalesce("top", "least").alias("root"))
+
+
+def equivalence(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, root): the smallest member of each element's class, for whole numbers related in pairs.
+
+    Tasks find the classes of the pairs that they read, and only what links these is shuffled.
+    """
+    links = pairs.select(F.col(a).alias("a"), F.col(b).alias("b"))
+    kind = links.union(links.select("b", "a")).schema["a"].dataType
+    out = _classes(_stars(links.where("a is not null and b is not null").select(F.col("a").cast("bigint"), F.col("b").cast("bigint"))))
+    return out.select(F.col("node").cast(kind), F.col("root").cast(kind))
+
+
 def commonfactors(values: list[float], tolerance: float, most: int = 100) -> list[list[int]]:
     """Groups of indices of values that are near whole multiples of their smallest member."""
     left, out = sorted(range(len(values)), key=lambda k: values[k]), []

@@ -348,3 +348,39 @@ def test_shift3_holds_patches_not_planes(spark, small_tiles):
     y = np.where((np.arange(13) < 1) | (np.arange(13) > 9), 1, 0)[:, None] * x
     assert (im.shift3(gaps, 0.5, -0.25).numpy() == im._sample(y, np.indices(x.shape)[0] - 0.5, np.indices(x.shape)[1] + 0.25, 3)).all()
     assert im.shift3(gaps, 0.5, -0.25).df.count() == x.size
+
+
+def classes(pairs):
+    root = {n: n for p in pairs for n in p}
+
+    def top(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for p, q in pairs:
+        p, q = sorted((top(p), top(q)))
+        root[q] = p
+    return {n: top(n) for n in root}
+
+
+@pytest.mark.parametrize("most", [4, 40, 400])
+def test_equivalence_of_parts(spark, monkeypatch, most):
+    monkeypatch.setattr(red, "PAIRS", most)
+    monkeypatch.setattr(red, "BROADCAST_ROOTS", most // 8)
+    rng = np.random.RandomState(6)
+    pairs = [(int(p), int(q)) for p, q in rng.randint(0, 200, (150, 2))] + [(300 + k, 301 + k) for k in range(40)] + [(400, 400), (500, 450), (500, 451), (500, 449), (500, 450)]
+    rng.shuffle(pairs)
+    df = spark.createDataFrame([*map(lambda p: (int(p[0]), int(p[1])), pairs), (600, None), (None, 601)], "a int, b bigint").repartition(5)
+    got = red.equivalence(df)
+    assert got.dtypes == [("node", "bigint"), ("root", "bigint")]
+    rows = list(map(tuple, got.collect()))
+    assert dict(rows) == classes([tuple(p) for p in pairs]) and len(rows) == len(dict(rows))
+
+
+def test_equivalence_of_pairs_that_lie_together_takes_no_rounds(spark, monkeypatch):
+    monkeypatch.setattr(red, "PAIRS", 100)
+    monkeypatch.setattr(red, "_rounds", None)
+    pairs = [(k // 20 * 1000 + k % 3, k // 20 * 1000 + k % 20) for k in range(4000)]
+    assert dict(map(tuple, red.equivalence(spark.createDataFrame(pairs, "a bigint, b bigint").coalesce(3)).collect())) == classes(pairs)
+    assert not red.equivalence(spark.createDataFrame([], "a bigint, b bigint")).count()
